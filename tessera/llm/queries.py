@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import decontaminate
 from .packing import pack
+from .quality import SQL as QUALITY_SQL
+from .quality import score
+from .sharding import shard
 from .token_counts import count_tokens
 from .token_files import token_files
 
@@ -20,9 +24,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": _documents(pack),
         "op5_token_counts": _documents(count_tokens),
+        "op6_sharding": _documents(shard),
+        "op7_quality_rules": lambda spark, sf_dir: score(table(spark, sf_dir, "documents")).drop("failed_rule"),
+        "op8_decontamination": lambda spark, sf_dir: decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_token_files": _documents(token_files),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_quality_rules": QUALITY_SQL}
