@@ -82,7 +82,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as a Parquet table; shuffle files that only its making needed may go at once."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle's files when its plan is collected
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

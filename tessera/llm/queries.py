@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import decontaminate
+from .jaccard import near_copies
 from .packing import pack
 from .quality import SQL as QUALITY_SQL
 from .quality import score
 from .sharding import shard
+from .substrings import cut_repeats
 from .token_counts import count_tokens
 from .token_files import token_files
 
@@ -23,6 +25,8 @@ def _documents(op: Callable[..., DataFrame], **kwargs) -> Callable[[SparkSession
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": _documents(pack),
+        "op3_substring_dedup": _documents(cut_repeats),
+        "op4_ngram_jaccard": _documents(near_copies),
         "op5_token_counts": _documents(count_tokens),
         "op6_sharding": _documents(shard),
         "op7_quality_rules": lambda spark, sf_dir: score(table(spark, sf_dir, "documents")).drop("failed_rule"),
