@@ -224,17 +224,23 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     return links, found
 
 
+def _all_components(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """node, component of every id that is in a group of two or more; docs: as texts() has them."""
+    _, copies, n_copies = common.exact_copies(docs, scratch)
+    _, found = _search(common.without(docs.filter("doc_id is not null"), copies.select("doc_id"), n_copies), scratch, "near")
+    if not n_copies:
+        return found
+    twins = copies.select("doc_id", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left")
+    with_twins = F.coalesce("component", "rep")
+    reps = copies.select(F.col("rep").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return scratch.write(found.unionByName(reps).unionByName(twins.select(F.col("doc_id").alias("node"), with_twins.alias("component"))), "grouped")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     common.ship(docs.sparkSession)
-    scratch = common.Scratch(docs.sparkSession, "jaccard")
     docs = common.texts(docs)
-    _, copies, n_copies = common.exact_copies(docs, scratch)
-    ids = copies.select("doc_id")
-    once = common.without(docs.filter("doc_id is not null"), ids, n_copies)
-    links, _ = _search(once, scratch, "near")
-    all_links = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    found = scratch.write(components(all_links, scratch, "all"), "found")
+    found = _all_components(docs, common.Scratch(docs.sparkSession, "jaccard"))
     sizes = docs.mapInArrow(_sizes, "doc_id long, n_shingles long")
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -243,10 +249,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest id of their group, with the columns of docs."""
     common.ship(docs.sparkSession)
     scratch = common.Scratch(docs.sparkSession, "jaccard")
-    mine = common.texts(docs)
-    _, copies, n_copies = common.exact_copies(mine, scratch)
-    links, _ = _search(common.without(mine.filter("doc_id is not null"), copies.select("doc_id"), n_copies), scratch, "near")
-    found = components(links.unionByName(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), scratch, "all")
+    found = _all_components(common.texts(docs), scratch)
     gone = scratch.write(found.filter("node != component").select(F.col("node").alias("_gone")), "gone")
     n = gone.count()
     return docs.join(F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import decontaminate
+from .hmm import score as hmm_score
 from .jaccard import near_copies
 from .packing import pack
 from .quality import SQL as QUALITY_SQL
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": lambda spark, sf_dir: score(table(spark, sf_dir, "documents")).drop("failed_rule"),
         "op8_decontamination": lambda spark, sf_dir: decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_token_files": _documents(token_files),
+        "op10_lm_scoring": _documents(hmm_score),
     }
 
 
