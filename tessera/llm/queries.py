@@ -10,6 +10,7 @@ from .common import table
 from .decontamination import decontaminate
 from .hmm import score as hmm_score
 from .jaccard import near_copies
+from .licenses import scan
 from .packing import pack
 from .quality import SQL as QUALITY_SQL
 from .quality import score
@@ -25,6 +26,7 @@ def _documents(op: Callable[..., DataFrame], **kwargs) -> Callable[[SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": _documents(scan),
         "op2_packing": _documents(pack),
         "op3_substring_dedup": _documents(cut_repeats),
         "op4_ngram_jaccard": _documents(near_copies),
