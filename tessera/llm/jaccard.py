@@ -17,8 +17,9 @@ Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
   lists are probed by binary search in the candidate's sorted shingles.
 * Lists are not turned into all their pairs. In each star round every list
   links its members to one centre; found links join members to components, and
-  only pairs between components are left, until these are few enough to list
-  them all. No pair of different components that could link is ever skipped.
+  only pairs between components are left. When these are few, or a round no
+  longer lessens them, all of them are listed. No pair of different components
+  that could link is ever skipped.
 
 Words are compared by 64-bit hashes. Null and empty texts, and texts without
 words, have no shingles and link with nothing; texts of fewer than 5 words have
@@ -43,12 +44,15 @@ WORDS = 5
 #: A link needs NUM / DEN of the union.
 NUM, DEN = 75, 100
 #: A list is long if its shingle is in so many documents, of which COUNTED in one run of rows.
-LONG = 64
-COUNTED = 4
+LONG = 32
+COUNTED = 3
 #: Long lists in the order that is sent to the tasks; the shortest beyond stay in hash order.
 ORDERED = 200_000
-#: Pairs listed at once, for each prefix row, before another star round is worth it.
-PAIRS_PER_ROW = 0.25
+#: Pairs listed at once without a star round: so many, or so many for each row of the lists.
+PAIRS = 500_000
+PAIRS_PER_ROW = 1.0
+#: A star round that leaves more than this share of the pairs is the last one.
+PROGRESS = 0.7
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -190,7 +194,7 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     members = scratch.write(lists.select("doc_id").distinct(), f"{name}_members")
     n_rows, n_members = lists.count(), members.count()
     sets = scratch.write(common.within(docs, members, n_members).mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}_sets")
-    links, found, round_ = None, None, 0
+    links, found, round_, before = None, None, 0, None
     while True:
         now = lists.withColumn("c", F.col("doc_id")) if found is None else lists.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
         now = scratch.write(now, f"{name}_now{round_}")
@@ -199,7 +203,8 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
         left = open_lists.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = left <= max(10_000, PAIRS_PER_ROW * n_rows)
+        last = left <= max(PAIRS, PAIRS_PER_ROW * n_rows) or (before is not None and left > PROGRESS * before)
+        before = left
         still = now.join(open_lists.select("shingle"), "shingle")
         if last:
             a = still.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("c").alias("ac"))
