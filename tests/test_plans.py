@@ -71,7 +71,7 @@ def test_stream_of_files(spark, tmp_path):
 
     source = tmp_path / "in"
     source.mkdir()
-    schema = T.StructType().add("a", "int").add("d", "date")
+    schema = T.StructType().add("a", T.IntegerType()).add("d", T.DateType())
     for i, text in enumerate(("1|2020-01-01\n", "2|2020-01-02\n")):
         (source / f"{i}.csv").write_text(text)
         append_to(appended(spark, str(source), schema), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
