@@ -110,6 +110,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """docs as one column, _row, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in columns))
+
+
 def exact_copies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Rows whose text, if it has a word, equals one with a smaller doc_id.
 

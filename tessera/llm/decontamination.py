@@ -214,5 +214,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> Da
     if n == 0:
         return docs
     bad = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    own = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    return docs.join(F.broadcast(bad) if n <= common.BROADCAST_ROWS // 4 else bad, (own == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    mine = common.carried(docs)
+    own = F.sha2(F.coalesce(mine["_row"].getField("text").cast("string"), F.lit("")), 256)
+    same = (own == bad["_digest"]) & mine["_row"].getField("doc_id").cast("long").eqNullSafe(bad["_id"])
+    return common.unpacked(mine.join(F.broadcast(bad) if n <= common.BROADCAST_ROWS // 4 else bad, same, "left_anti"), docs.columns)

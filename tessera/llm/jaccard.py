@@ -257,4 +257,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = _all_components(common.texts(docs), scratch)
     gone = scratch.write(found.filter("node != component").select(F.col("node").alias("_gone")), "gone")
     n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    mine = common.carried(docs)
+    kept = mine.join(F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone, mine["_row"].getField("doc_id").cast("long") == gone["_gone"], "left_anti")
+    return common.unpacked(kept, docs.columns)

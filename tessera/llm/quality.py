@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, WORD
+from .common import SEPARATORS, WORD, carried, unpacked
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Rows of the sample that costs and selectivities are estimated on, about.
@@ -109,9 +109,9 @@ RULES = (
 )
 
 
-def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
+def _prepared(docs: DataFrame, text: Column) -> DataFrame:
     """docs with _t and _w: the text and its words."""
-    return docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_w", words(F.col("_t")))
+    return docs.withColumn("_t", F.coalesce(text.cast("string"), F.lit(""))).withColumn("_w", words(F.col("_t")))
 
 
 def _fails(rule: Rule) -> Column:
@@ -121,7 +121,8 @@ def _fails(rule: Rule) -> Column:
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> list[Rule]:
     """The rules by rejection per cost, estimated on a sample of about ``sample`` rows."""
     total = docs.count()
-    part = _prepared(docs.select(text_col) if total <= sample else docs.select(text_col).sample(sample / total, seed=seed), text_col)
+    part = docs.select(F.col(text_col).alias("text"))
+    part = _prepared(part if total <= sample else part.sample(sample / total, seed=seed), F.col("text"))
     sizes = (F.avg(F.length("_t")), F.avg(F.size("_w")), F.avg(F.size(lines(F.col("_t")))))
     row = part.agg(*sizes, *(F.avg(_fails(r).cast("int")) for r in rules)).first()
     means, rates = [x or 0.0 for x in row[:3]], [x or 0.0 for x in row[3:]]
@@ -139,14 +140,14 @@ def first_failure(rules: list[Rule]) -> Column:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
-    ready = _prepared(docs, text_col).withColumn("_failed", first_failure(ordered(docs, rules, text_col=text_col)))
-    return ready.filter(F.col("_failed").isNull()).select(*docs.columns)
+    ready = _prepared(carried(docs), F.col("_row").getField(text_col)).withColumn("_failed", first_failure(ordered(docs, rules, text_col=text_col)))
+    return unpacked(ready.filter(F.col("_failed").isNull()), docs.columns)
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and failed_rule, of every row of documents."""
     cascade = first_failure(ordered(docs, tuple(r for r in rules if r not in BASE)))
-    ready = _prepared(docs.select("doc_id", "text"), "text")
+    ready = _prepared(docs.select("doc_id", "text"), F.col("text"))
     measured = ready.select(
         "doc_id", "_t", "_w",
         F.size("_w").cast("long").alias("n_words"),

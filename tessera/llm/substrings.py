@@ -176,7 +176,7 @@ def _repeats(docs: DataFrame, words: int, seed: int, carry: bool = False) -> tup
     spark = docs.sparkSession
     common.ship(spark)
     scratch = common.Scratch(spark, "substrings")
-    own = [F.struct(*docs.columns).alias("row")] if carry else []
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *own)
     keys, copies, n_copies = common.exact_copies(docs, scratch)
     docs = _numbered(docs, keys, scratch)
@@ -222,5 +222,5 @@ def cut_texts(docs: DataFrame, *, words: int = WORDS, seed: int = SEED) -> DataF
     out = out.filter("n_words = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("row.text"))
     size = F.when(F.col("n_removed") > 0, F.length(F.col("kept").cast("string")).cast("long"))
-    new = {"text": text, "n_chars": F.coalesce(size, F.col("row.n_chars")) if "n_chars" in columns else None}
-    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns))
+    new = {"text": text} | ({"n_chars": F.coalesce(size, F.col("row.n_chars"))} if "n_chars" in columns else {})
+    return out.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))
