@@ -43,6 +43,8 @@ OWN = 30_000
 BUCKETS = 512
 TABLE = 200_000
 INIT_ROWS = 1_000
+#: Bytes (two for each token) of a document that the first guess reads, so that its sample is bounded however long documents are.
+INIT_BYTES = 1 << 15
 INIT_ROUNDS = 12
 ROUNDS = 2
 SEGMENT = 2_048
@@ -321,7 +323,7 @@ def score(docs: DataFrame, *, states: int = STATES, own: int = OWN, table: int =
     learning = encoded.filter("not held_out")
     model = Model.guess(share, states)
     rate = min(1.0, INIT_ROWS / max(1, ends))
-    first = _pieces(learning.sample(rate, seed=3).select("classes").limit(2 * INIT_ROWS).toArrow().column(0).combine_chunks()) if ends else []
+    first = _pieces(learning.sample(rate, seed=3).select(F.substring("classes", 1, INIT_BYTES).alias("classes")).limit(2 * INIT_ROWS).toArrow().column(0).combine_chunks()) if ends else []
     for _ in range(INIT_ROUNDS if first else 0):
         model = Model.fit(*expect(model, first), share)
     for _ in range(rounds if ends else 0):
