@@ -40,6 +40,15 @@ def _place(uri: str):
     return system, path
 
 
+def _rename(system, old: str, new: str) -> None:
+    """Renames, also over what an earlier attempt left; where a store refuses that, the old file, of equal content, goes first."""
+    try:
+        system.move(old, new)
+    except OSError:
+        system.delete_file(new)
+        system.move(old, new)
+
+
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -60,11 +69,11 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                         index = []
             idx.write(np.array([*index, docs, at], "<i8").tobytes())
         if not docs:
-            for end in ("ids", "idx"):
-                system.delete_file(f"{name}.{mark}.{end}")
+            for kind in ("ids", "idx"):
+                system.delete_file(f"{name}.{mark}.{kind}")
             return
         for kind in ("ids", "idx"):
-            system.move(f"{name}.{mark}.{kind}", f"{name}.{kind}")
+            _rename(system, f"{name}.{mark}.{kind}", f"{name}.{kind}")
         yield pa.record_batch({"part": pa.array([part], pa.int64()), "n_docs": pa.array([docs], pa.int64()), "n_ids": pa.array([at], pa.int64()), "width": pa.array([width], pa.int64())})
 
     return run
@@ -80,7 +89,7 @@ def write_ids(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end
     system, path = _place(folder)
     system.create_dir(path, recursive=True)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = common.texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows = common.texts(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")  # a repeated attempt writes the same bytes
     done = sorted(rows.mapInArrow(_writer(folder, tokenizer or default_path(), end_id), "part long, n_docs long, n_ids long, width long").collect())
     bases = np.cumsum([0, *(r.n_ids for r in done)])
     return spark.createDataFrame([(*r, int(b)) for r, b in zip(done, bases[:-1], strict=True)], "part long, n_docs long, n_ids long, width long, base long")
