@@ -142,6 +142,25 @@ def exact_copies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return keys, copies, copies.count()
 
 
+def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of df with the largest counts n >= 1, at most ``most`` of them, without a sort.
+
+    The bound on n comes from a histogram of its logarithm, combined before the
+    shuffle, so no task gets more than its share of df; rows of one bin of the
+    histogram stay or go together.
+    """
+    bin_ = F.floor(F.log2(n) * 16).cast("int")
+    bins = sorted(df.groupBy(bin_.alias("bin")).count().collect(), reverse=True)  # 1,024 rows at most
+    least, total = None, 0
+    for b, size in bins:
+        if total + size > most:
+            break
+        least, total = b, total + size
+    if len(bins) and least == bins[-1][0]:
+        return df
+    return df.limit(0) if least is None else df.filter(bin_ >= least)
+
+
 def without(df: DataFrame, ids: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """Rows of df whose key is not in ids, which has n rows; broadcast only up to BROADCAST_ROWS."""
     if n == 0:

@@ -13,8 +13,9 @@ Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
   (counted in every partition, summed over all) come last, the most frequent
   at the end; all others in order of their hash, which costs no count. Any
   order gives whole results; this one keeps merged lists short.
-* Candidates pass the length bound and the positional bound, and their long
-  lists are probed by binary search in the candidate's sorted shingles.
+* Candidates are pairs within the length bound that are in as many short lists
+  as a link needs (T less the long lists, and more where both prefixes say so);
+  their long lists are probed by binary search in the other's sorted shingles.
 * Lists are not turned into all their pairs. In each star round every list
   links its members to one centre; found links join members to components, and
   only pairs between components are left. When these are few, or a round no
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -44,13 +45,15 @@ WORDS = 5
 #: A link needs NUM / DEN of the union.
 NUM, DEN = 75, 100
 #: A list is long if its shingle is in so many documents, of which COUNTED in one run of rows.
-LONG = 32
-COUNTED = 3
+LONG = 8
+COUNTED = 2
 #: Long lists in the order that is sent to the tasks; the shortest beyond stay in hash order.
 ORDERED = 200_000
 #: Pairs listed at once without a star round: so many, or so many for each row of the lists.
 PAIRS = 500_000
-PAIRS_PER_ROW = 1.0
+PAIRS_PER_ROW = 3.0
+#: In a star round a pair is tried if it shows this part of the lists that a link needs, as not all of them have the same centre.
+STAR_SHARE = 0.3
 #: A star round that leaves more than this share of the pairs is the last one.
 PROGRESS = 0.7
 
@@ -135,11 +138,10 @@ def _rows(out: list[tuple[np.ndarray, int, int]], ids: np.ndarray) -> pa.RecordB
         "shingle": _signed(np.concatenate([x for x, _, _ in out])),
         "doc_id": pa.array(np.repeat(np.array([ids[r] for _, r, _ in out], np.int64), lengths)),
         "n": pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
-        "place": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
     })
 
 
-_PREFIX = "shingle long, doc_id long, n int, place int"
+_PREFIX = "shingle long, doc_id long, n int"
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +167,23 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, an, ap, b, bn, bp) within the length and the positional bound, once each, a < b."""
-    least, most = F.least("an", "bn"), F.greatest("an", "bn")
-    overlap = F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
-    ok = (F.col("a") != F.col("b")) & (DEN * least >= NUM * most) & ((NUM + DEN) * overlap >= NUM * (F.col("an") + F.col("bn")))
-    return pairs.filter(ok).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _listed(n: str) -> Column:
+    """The number of short lists of a set of n shingles."""
+    return F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1
+
+
+def _reaching(pairs: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, an, b, bn), a row for each short list in common, that are in ``share`` of the lists that a link needs; once each, a < b.
+
+    A link of sets with the required overlap T leaves at most an - T shingles
+    of a out of b. Of the two prefixes one ends first in the order; its
+    shingles that are in the other set are in the other prefix, too.
+    """
+    near = pairs.filter((F.col("a") != F.col("b")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn")))
+    one = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("an", "bn").alias("an"), F.greatest("an", "bn").alias("bn")).agg(F.count("*").alias("c"))
+    overlap = F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN))
+    least = F.least(_listed("an") - F.col("an") + overlap, _listed("bn") - F.col("bn") + overlap)
+    return one.filter(F.col("c") >= least * share).select("a", "b").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -183,46 +196,50 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     """Enough links (a, b) between distinct texts to have the components of all links, and the components themselves."""
     spark = docs.sparkSession
     late = docs.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= LONG)
-    top = late.orderBy(F.desc("n"), "shingle").limit(ORDERED).toArrow()
+    top = common.most_frequent(scratch.write(late, f"{name}_late"), "n", ORDERED).toArrow()
     values, counts = top.column("shingle").to_numpy().view(U), top.column("n").to_numpy()
     order = np.argsort(values)
-    listed = docs.mapInArrow(_prefixes(values[order], counts[order]), _PREFIX)
-    listed = scratch.write(listed, f"{name}_listed")
+    listed = scratch.write(docs.mapInArrow(_prefixes(values[order], counts[order]), _PREFIX), f"{name}_listed")
     shared = listed.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
     lists = scratch.write(listed.join(shared, "shingle"), f"{name}_lists")
-    scratch.drop(f"{name}_listed")
-    members = scratch.write(lists.select("doc_id").distinct(), f"{name}_members")
-    n_rows, n_members = lists.count(), members.count()
-    sets = scratch.write(common.within(docs, members, n_members).mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}_sets")
+    scratch.drop(f"{name}_listed", f"{name}_late")
+    n_rows = lists.count()
     links, found, round_, before = None, None, 0, None
     while True:
-        now = lists.withColumn("c", F.col("doc_id")) if found is None else lists.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        now = scratch.write(now, f"{name}_now{round_}")
+        at = lambda x: f"{name}_{x}{round_}"  # noqa: B023, E731
+        now = lists.withColumn("c", F.col("doc_id"))
+        if found is not None:
+            now = lists.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+            now = scratch.write(now, at("now"))
         by = now.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        open_lists = scratch.write(by.filter("pairs > 0"), f"{name}_open{round_}")
+        open_lists = scratch.write(by.filter("pairs > 0"), at("open"))
         left = open_lists.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
         last = left <= max(PAIRS, PAIRS_PER_ROW * n_rows) or (before is not None and left > PROGRESS * before)
         before = left
         still = now.join(open_lists.select("shingle"), "shingle")
+        a = still.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
         if last:
-            a = still.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("c").alias("ac"))
-            b = still.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("c").alias("bc"))
-            pairs = a.join(b, "shingle").filter("a < b and ac != bc")
+            b = still.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
+            pairs = _reaching(a.join(b, "shingle").filter("a < b and ac != bc"), 1.0)
         else:
             turn = F.xxhash64(F.lit(round_), "doc_id")
-            centre = still.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("place").alias("bp"), F.col("c").alias("bc"))).alias("m")).select("shingle", "m.*").drop("t")
-            centre = scratch.write(centre, f"{name}_centre{round_}")
-            pairs = still.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("c").alias("ac")).join(centre, "shingle").filter("ac != bc")
-        pairs = scratch.write(_bounded(pairs), f"{name}_pairs{round_}")
-        new = scratch.write(_links(pairs, sets), f"{name}_links{round_}")
+            centre = still.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))).alias("m")).select("shingle", "m.*").drop("t")
+            pairs = _reaching(a.join(scratch.write(centre, at("centre")), "shingle").filter("ac != bc"), STAR_SHARE)
+        pairs = scratch.write(pairs, at("pairs"))
+        scratch.drop(at("now"), at("open"), at("centre"))
+        members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        members = scratch.write(members, at("members"))
+        sets = scratch.write(common.within(docs, members, members.count()).mapInArrow(_sets, "doc_id long, shingles binary"), at("sets"))
+        new = scratch.write(_links(pairs, sets), at("links"))
+        scratch.drop(at("sets"), at("pairs"))
         links = new if links is None else links.unionByName(new)
-        found = scratch.write(components(links, scratch, f"{name}_components{round_}"), f"{name}_found{round_}")
+        found = scratch.write(components(links, scratch, at("components")), at("found"))
         round_ += 1
         if last:
             break
-    scratch.drop(*(f"{name}_{x}" for x in ("sets", "lists")))
+    scratch.drop(f"{name}_lists")
     if found is None:
         found = spark.createDataFrame([], "node long, component long")
         links = spark.createDataFrame([], "a long, b long")
