@@ -109,56 +109,56 @@ RULES = (
 )
 
 
-def _prepared(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with _t and _w: the text and its words."""
-    return docs.withColumn("_t", F.coalesce(text.cast("string"), F.lit(""))).withColumn("_w", words(F.col("_t")))
+def _of(text: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(text, words) with the words bound inside the expression: no filter that Spark pushes down can split the text anew for each word."""
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words(t), lambda w: use(t, w)))
 
 
-def _fails(rule: Rule) -> Column:
-    return rule.fails(F.col("_t"), F.col("_w"), lines(F.col("_t")))
+def _fails(rule: Rule, t: Column, w: Column) -> Column:
+    return rule.fails(t, w, lines(t))
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> list[Rule]:
     """The rules by rejection per cost, estimated on a sample of about ``sample`` rows."""
     total = docs.count()
     part = docs.select(F.col(text_col).alias("text"))
-    part = _prepared(part if total <= sample else part.sample(sample / total, seed=seed), F.col("text"))
-    sizes = (F.avg(F.length("_t")), F.avg(F.size("_w")), F.avg(F.size(lines(F.col("_t")))))
-    row = part.agg(*sizes, *(F.avg(_fails(r).cast("int")) for r in rules)).first()
+    part = part if total <= sample else part.sample(sample / total, seed=seed)
+    seen = part.select(_of(F.col("text"), lambda t, w: F.array(F.length(t), F.size(w), F.size(lines(t)), *(_fails(r, t, w).cast("int") for r in rules))).alias("x"))
+    row = seen.agg(*(F.avg(F.col("x")[i]) for i in range(3 + len(rules)))).first()
     means, rates = [x or 0.0 for x in row[:3]], [x or 0.0 for x in row[3:]]
     cost = {r.name: 1e-9 + sum(a * b for a, b in zip(r.cost, means, strict=True)) for r in rules}
     return [r for r, rate in sorted(zip(rules, rates, strict=True), key=lambda x: (-x[1] / cost[x[0].name], cost[x[0].name], x[0].name))]
 
 
-def first_failure(rules: list[Rule]) -> Column:
-    """The name of the first rule, in this order, that rejects a prepared document; null if none."""
+def first_failure(rules: list[Rule], t: Column, w: Column) -> Column:
+    """The name of the first rule, in this order, that rejects a text; null if none. The rules behind it are not evaluated."""
     out = F
     for r in rules:
-        out = out.when(_fails(r), F.lit(r.name))
+        out = out.when(_fails(r, t, w), F.lit(r.name))
     return out
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
-    ready = _prepared(carried(docs), F.col("_row").getField(text_col)).withColumn("_failed", first_failure(ordered(docs, rules, text_col=text_col)))
-    return unpacked(ready.filter(F.col("_failed").isNull()), docs.columns)
+    order = ordered(docs, rules, text_col=text_col)
+    failed = _of(F.col("_row").getField(text_col), lambda t, w: first_failure(order, t, w))
+    return unpacked(carried(docs).filter(failed.isNull()), docs.columns)
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and failed_rule, of every row of documents."""
-    cascade = first_failure(ordered(docs, tuple(r for r in rules if r not in BASE)))
-    ready = _prepared(docs.select("doc_id", "text"), F.col("text"))
-    measured = ready.select(
-        "doc_id", "_t", "_w",
-        F.size("_w").cast("long").alias("n_words"),
-        word_chars(F.col("_w")).cast("long").alias("word_chars"),
-        symbols(F.col("_t")).cast("long").alias("n_symbols"),
-        let(lines(F.col("_t")), duplicate_lines).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-    )
-    few, repeats = F.col("n_words") < 50, 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
-    judged = measured.withColumn("failed_rule", F.when(few, "few_words").when(repeats, "repeated_windows").otherwise(cascade))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (few | repeats).alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "failed_rule")
+    order = ordered(docs, tuple(r for r in rules if r not in BASE))
+
+    def judge(t: Column, w: Column) -> Column:
+        base = F.array(F.size(w), word_chars(w), symbols(t), let(lines(t), duplicate_lines), repeated_words(w))
+        few, repeats = lambda m: m[0] < 50, lambda m: 100 * m[4].cast("long") > 50 * m[0].cast("long")
+        return let(base, lambda m: F.struct(m.alias("m"), F.when(few(m), "few_words").when(repeats(m), "repeated_windows").otherwise(first_failure(order, t, w)).alias("failed_rule")))
+
+    judged = docs.select("doc_id", _of(F.col("text"), judge).alias("j")).select("doc_id", F.col("j.m").alias("m"), F.col("j.failed_rule").alias("failed_rule"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    out = judged.select("doc_id", *(F.col("m")[i].cast("long").alias(n) for i, n in enumerate(names)), "failed_rule")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return out.select("doc_id", *names, failed.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "failed_rule")
 
 
 #: DuckDB SQL for the columns of score() but failed_rule, which depends on the cascade's order.

@@ -44,9 +44,9 @@ def test_order_changes_the_work_alone(documents):
     assert sorted(r.name for r in rules) == sorted(r.name for r in quality.RULES)
     want = sorted(r.doc_id for r in quality.score(documents).filter("kept").collect())
     assert sorted(r.doc_id for r in quality.keep_good(documents).collect()) == want
-    ready = quality._prepared(documents, documents["text"])
     for order in (quality.RULES, quality.RULES[::-1]):
-        assert sorted(r.doc_id for r in ready.withColumn("f", quality.first_failure(list(order))).filter("f is null").select("doc_id").collect()) == want
+        failed = quality._of(documents["text"], lambda t, w: quality.first_failure(list(order), t, w))  # noqa: B023
+        assert sorted(r.doc_id for r in documents.filter(failed.isNull()).select("doc_id").collect()) == want
 
 
 def test_good_rows_keep_their_columns(tricky):
