@@ -307,7 +307,7 @@ def score(docs: DataFrame, *, states: int = STATES, own: int = OWN, table: int =
     ends = training.count()
     kinds, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     train_tokens, train_kinds = tokens + ends, kinds + (ends > 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(table).toArrow()
+    top = common.most_frequent(counts, "n", table).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     own = min(own, top.num_rows)
     by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")).collect()  # BUCKETS rows at most
     bucket_tokens, bucket_kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
