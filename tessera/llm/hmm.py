@@ -40,6 +40,8 @@ from .wordhash import FOLDED, U, groups
 
 STATES = 6
 OWN = 30_000
+#: Words of fewer training tokens have no class of their own, however few words there are.
+OWN_LEAST = 5
 BUCKETS = 512
 TABLE = 200_000
 INIT_ROWS = 1_000
@@ -308,7 +310,7 @@ def score(docs: DataFrame, *, states: int = STATES, own: int = OWN, table: int =
     kinds, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     train_tokens, train_kinds = tokens + ends, kinds + (ends > 0)
     top = common.most_frequent(counts, "n", table).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    own = min(own, top.num_rows)
+    own = min(own, int((top.column("n").to_numpy() >= OWN_LEAST).sum()))
     by_bucket = counts.groupBy("bucket").agg(F.sum("n").alias("tokens"), F.count("*").alias("kinds")).collect()  # BUCKETS rows at most
     bucket_tokens, bucket_kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for r in by_bucket:
