@@ -13,9 +13,10 @@ Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
   (counted in every partition, summed over all) come last, the most frequent
   at the end; all others in order of their hash, which costs no count. Any
   order gives whole results; this one keeps merged lists short.
-* Candidates are pairs within the length bound that are in as many short lists
-  as a link needs (T less the long lists, and more where both prefixes say so);
-  their long lists are probed by binary search in the other's sorted shingles.
+* Candidates are pairs within the length and the positional bound that are in as
+  many short lists as a link needs (T less the long lists, and more where both
+  prefixes say so); their long lists are probed by binary search in the other's
+  sorted shingles.
 * Lists are not turned into all their pairs. In each star round every list
   links its members to one centre; found links join members to components, and
   only pairs between components are left. When these are few, or a round no
@@ -49,13 +50,10 @@ LONG = 8
 COUNTED = 2
 #: Long lists in the order that is sent to the tasks; the shortest beyond stay in hash order.
 ORDERED = 200_000
-#: Pairs listed at once without a star round: so many, or so many for each row of the lists.
-PAIRS = 500_000
-PAIRS_PER_ROW = 3.0
-#: In a star round a pair is tried if it shows this part of the lists that a link needs, as not all of them have the same centre.
-STAR_SHARE = 0.3
+#: Pairs listed at once without a star round.
+PAIRS = 50_000
 #: A star round that leaves more than this share of the pairs is the last one.
-PROGRESS = 0.7
+PROGRESS = 0.6
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -138,10 +136,11 @@ def _rows(out: list[tuple[np.ndarray, int, int]], ids: np.ndarray) -> pa.RecordB
         "shingle": _signed(np.concatenate([x for x, _, _ in out])),
         "doc_id": pa.array(np.repeat(np.array([ids[r] for _, r, _ in out], np.int64), lengths)),
         "n": pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), lengths)),
+        "place": pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])),
     })
 
 
-_PREFIX = "shingle long, doc_id long, n int"
+_PREFIX = "shingle long, doc_id long, n int, place int"
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,23 +166,29 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _listed(n: str) -> Column:
-    """The number of short lists of a set of n shingles."""
-    return F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1
+def _overlap() -> Column:
+    """The shingles that two sets of an and bn must have in common to link."""
+    return F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN))
 
 
-def _reaching(pairs: DataFrame, share: float) -> DataFrame:
-    """Pairs (a, an, b, bn), a row for each short list in common, that are in ``share`` of the lists that a link needs; once each, a < b.
+def _could_link() -> Column:
+    """The length bound, and the positional bound, which holds at the first shingle in common: enough must be left behind it."""
+    return (F.col("ac") != F.col("bc")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn")) & (F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= _overlap())
+
+
+def _reaching(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, an, b, bn), once each, that are together in as many short lists as a link needs.
 
     A link of sets with the required overlap T leaves at most an - T shingles
     of a out of b. Of the two prefixes one ends first in the order; its
-    shingles that are in the other set are in the other prefix, too.
+    shingles that are in the other set are in the other prefix, too. own: the
+    short lists of each document that have another member.
     """
-    near = pairs.filter((F.col("a") != F.col("b")) & (DEN * F.least("an", "bn") >= NUM * F.greatest("an", "bn")))
-    one = near.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("an", "bn").alias("an"), F.greatest("an", "bn").alias("bn")).agg(F.count("*").alias("c"))
-    overlap = F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN))
-    least = F.least(_listed("an") - F.col("an") + overlap, _listed("bn") - F.col("bn") + overlap)
-    return one.filter(F.col("c") >= least * share).select("a", "b").distinct()
+    x, y = (own.select(F.col("doc_id").alias(c), F.col("lists").alias(f"{c}_lists")) for c in ("a", "b"))
+    listed = lambda n: F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1
+    least = F.least(listed("an") - F.col("an"), listed("bn") - F.col("bn")) + _overlap()
+    both = pairs.select("a", "an", "b", "bn").distinct().join(x, "a").join(y, "b")
+    return both.filter(F.size(F.array_intersect("a_lists", "b_lists")) >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,31 +207,33 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     listed = scratch.write(docs.mapInArrow(_prefixes(values[order], counts[order]), _PREFIX), f"{name}_listed")
     shared = listed.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
     lists = scratch.write(listed.join(shared, "shingle"), f"{name}_lists")
+    own = scratch.write(lists.groupBy("doc_id").agg(F.collect_list("shingle").alias("lists")), f"{name}_own")
     scratch.drop(f"{name}_listed", f"{name}_late")
-    n_rows = lists.count()
     links, found, round_, before = None, None, 0, None
+    now = lists.withColumn("c", F.col("doc_id"))
     while True:
         at = lambda x: f"{name}_{x}{round_}"  # noqa: B023, E731
-        now = lists.withColumn("c", F.col("doc_id"))
-        if found is not None:
-            now = lists.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-            now = scratch.write(now, at("now"))
-        by = now.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
+        by = now.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("size"))
         open_lists = scratch.write(by.filter("pairs > 0"), at("open"))
         left = open_lists.agg(F.sum("pairs")).first()[0] or 0
         if not left:
             break
-        last = left <= max(PAIRS, PAIRS_PER_ROW * n_rows) or (before is not None and left > PROGRESS * before)
+        last = left <= PAIRS or (before is not None and left > PROGRESS * before)
         before = left
-        still = now.join(open_lists.select("shingle"), "shingle")
-        a = still.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+        still = scratch.write(now.join(open_lists.select("shingle", "size"), "shingle"), at("still"))
+        side = lambda x: [F.col("doc_id").alias(x), F.col("n").alias(f"{x}n"), F.col("place").alias(f"{x}p"), F.col("c").alias(f"{x}c")]
+        a = still.select(F.col("shingle").alias("list"), *side("a"))
         if last:
-            b = still.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))
-            pairs = _reaching(a.join(b, "shingle").filter("a < b and ac != bc"), 1.0)
+            pairs = a.join(still.select("shingle", *side("b")), (F.col("list") == F.col("shingle")) & (F.col("a") < F.col("b")) & _could_link())
         else:
-            turn = F.xxhash64(F.lit(round_), "doc_id")
-            centre = still.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), F.col("doc_id").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))).alias("m")).select("shingle", "m.*").drop("t")
-            pairs = _reaching(a.join(scratch.write(centre, at("centre")), "shingle").filter("ac != bc"), STAR_SHARE)
+            if round_:
+                turn, ranked = F.xxhash64(F.lit(round_), "doc_id"), still
+            else:  # the member that meets most others, as the original of edited copies does
+                met = still.groupBy("doc_id").agg(F.sum("size").alias("met")).withColumnRenamed("doc_id", "member")
+                turn, ranked = -F.col("met"), still.join(met, F.col("doc_id") == F.col("member"))
+            centre = ranked.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), *side("b"))).alias("m")).select("shingle", "m.*").drop("t")
+            pairs = a.join(scratch.write(centre, at("centre")), (F.col("list") == F.col("shingle")) & _could_link())
+        pairs = _reaching(pairs, own)
         pairs = scratch.write(pairs, at("pairs"))
         scratch.drop(at("now"), at("open"), at("centre"))
         members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -239,6 +246,8 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
         round_ += 1
         if last:
             break
+        now = still.drop("c", "size").join(found.select(F.col("node").alias("member"), "component"), F.col("doc_id") == F.col("member"), "left")
+        now = scratch.write(now.select("shingle", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c")), at("now"))
     scratch.drop(f"{name}_lists")
     if found is None:
         found = spark.createDataFrame([], "node long, component long")

@@ -57,7 +57,6 @@ def test_groups_of_documents(documents, pairs):
 @pytest.mark.parametrize("pairs_at_once, long", [(0, 3), (10**9, 10**9)])
 def test_star_rounds_and_order_lose_no_link(spark, tricky, monkeypatch, pairs_at_once, long):
     monkeypatch.setattr(jaccard, "PAIRS", pairs_at_once)
-    monkeypatch.setattr(jaccard, "PAIRS_PER_ROW", 0)
     monkeypatch.setattr(jaccard, "LONG", long)
     check(tricky, tricky_rows())
 
@@ -151,3 +150,14 @@ def test_anchors_are_leftmost_minima(values, width):
 
 def test_nothing(nothing):
     assert jaccard.near_copies(nothing).count() == jaccard.keep_one(nothing).count() == substrings.cut_repeats(nothing).count() == substrings.cut_texts(nothing).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 60, 1000])
+def test_most_frequent(spark, most):
+    from tessera.llm.common import most_frequent
+
+    counts = [1] * 30 + [2] * 10 + [5, 5, 80, 1000, 10**12]
+    df = spark.createDataFrame(list(enumerate(counts)), "word long, n long")
+    got = sorted((r.n for r in most_frequent(df, "n", most).collect()), reverse=True)
+    assert len(got) <= most and got == sorted(counts, reverse=True)[: len(got)]
+    assert len(got) >= min(most, 5) or most < 5
