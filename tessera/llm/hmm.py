@@ -10,11 +10,11 @@ are a class each; every other word belongs to the class of its BUCKETS bucket
 with C tokens and V words in the bucket). So P(text) = P(classes) times the
 words' shares, a proper probability over words and one unknown for each bucket.
 
-Training: the first guess comes from a few iterations over INIT_ROWS documents;
-then ROUNDS iterations of Baum-Welch run over all training documents, expected
-counts being added up in each task and summed across partitions. A training
-document of more than SEGMENT tokens counts as pieces of that length. Scoring
-is the scaled forward recursion over the whole document, not cut.
+Training: from a random first guess around the corpus' class shares, ROUNDS
+iterations of Baum-Welch run over all training documents, expected counts being
+added up in each task and summed across partitions. A training document of more
+than SEGMENT tokens counts as pieces of that length, all of which are read.
+Scoring is the scaled forward recursion over the whole document, not cut.
 
 Only the classes' parameters, bounded by OWN and BUCKETS, and the counts of the
 TABLE most frequent words go to the tasks; all rarer words are counted and
@@ -44,11 +44,7 @@ OWN = 30_000
 OWN_LEAST = 5
 BUCKETS = 512
 TABLE = 200_000
-INIT_ROWS = 1_000
-#: Bytes (two for each token) of a document that the first guess reads, so that its sample is bounded however long documents are.
-INIT_BYTES = 1 << 15
-INIT_ROUNDS = 12
-ROUNDS = 2
+ROUNDS = 14
 SEGMENT = 2_048
 #: Tokens whose forward and backward numbers are held at once.
 BATCH = 1 << 18
@@ -324,10 +320,6 @@ def score(docs: DataFrame, *, states: int = STATES, own: int = OWN, table: int =
     encoded = scratch.write(docs.mapInArrow(_encode(vocabulary), _ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
     learning = encoded.filter("not held_out")
     model = Model.guess(share, states)
-    rate = min(1.0, INIT_ROWS / max(1, ends))
-    first = _pieces(learning.sample(rate, seed=3).select(F.substring("classes", 1, INIT_BYTES).alias("classes")).limit(2 * INIT_ROWS).toArrow().column(0).combine_chunks()) if ends else []
-    for _ in range(INIT_ROUNDS if first else 0):
-        model = Model.fit(*expect(model, first), share)
     for _ in range(rounds if ends else 0):
         model = _round(model, learning, share)
     rest = encoded.select("row", F.explode("rest").alias("w")).select("row", "w.word", "w.bucket")

@@ -101,6 +101,23 @@ def test_scores_do_not_hang_on_the_table(documents):
     assert all(abs(a[k].base_score - b[k].base_score) < 1e-6 * abs(a[k].base_score) and abs(a[k].score - b[k].score) < 1e-6 * abs(a[k].score) for k in a)
 
 
+def test_every_round_reads_all_training_tokens(spark, monkeypatch):
+    """No round on a sample or on the start of long documents: the first one over the corpus starts from the guess."""
+    seen, whole = [], hmm._round
+
+    def spied(model, training, share):
+        lengths = sorted(len(r.classes) // 2 for r in training.collect())
+        seen.append((np.array_equal(model.emit, hmm.Model.guess(share, len(model.start)).emit), lengths))
+        return whole(model, training, share)
+
+    monkeypatch.setattr(hmm, "_round", spied)
+    df = spark.createDataFrame([(i, f"a b c {i % 7} " * (10 + (i == 5) * 5_000)) for i in range(1_500)], "doc_id long, text string")
+    rows = hmm.score(df, states=2).collect()
+    lengths = sorted(r.n_tokens for r in rows if not r.held_out)
+    assert lengths[-1] > 20_000 and len(lengths) > 1_000
+    assert seen == [(i == 0, lengths) for i in range(14)]
+
+
 MODEL = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.array([[0.5, 0.1], [0.2, 0.3], [0.3, 0.6]]))
 
 
