@@ -22,6 +22,10 @@ Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
   only pairs between components are left. When these are few, or a round no
   longer lessens them, all of them are listed. No pair of different components
   that could link is ever skipped.
+* That finds the components, not all links. As both ends of a link are in one
+  component, the links of each id are then counted there: its distinct texts
+  (ids of the same texts are one kind, with their number) are dealt into blocks,
+  and each pair of blocks is compared in full by one task. No pair is listed.
 
 Words are compared by 64-bit hashes. Null and empty texts, and texts without
 words, have no shingles and link with nothing; texts of fewer than 5 words have
@@ -54,6 +58,9 @@ ORDERED = 200_000
 PAIRS = 50_000
 #: A star round that leaves more than this share of the pairs is the last one.
 PROGRESS = 0.6
+#: Texts, and shingles, of a block of a component.
+BLOCK_TEXTS = 500
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -166,6 +173,78 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def linked(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all linked pairs of left and right, or of left alone."""
+    sets = left + (right or [])
+    sizes = np.array([len(x) for x in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[code] > 1  # a shingle of one set alone is in no intersection
+    where = np.concatenate(([0], np.cumsum(shared)))[np.concatenate(([0], np.cumsum(sizes)))]
+    code = code[shared]
+    mine = lambda i: code[where[i] : where[i + 1]]
+    order = np.argsort(sizes[len(left) :] if right else sizes, kind="stable") + (len(left) if right else 0)
+    n = sizes[order]
+    items = np.concatenate([mine(i) for i in order])
+    edge = np.concatenate(([0], np.cumsum(where[order + 1] - where[order])))
+    flag = np.zeros(len(often), np.bool_)
+    a, b = [], []
+    for at, i in enumerate(range(len(left)) if right else order):
+        low, high = np.searchsorted(n, -(-NUM * sizes[i] // DEN), "left"), np.searchsorted(n, DEN * sizes[i] // NUM, "right")
+        if not right:
+            low = max(low, at + 1)
+        if low >= high:
+            continue
+        flag[mine(i)] = True
+        both = np.diff(np.concatenate(([0], np.cumsum(flag[items[edge[low] : edge[high]]])))[edge[low : high + 1] - edge[low]])
+        flag[mine(i)] = False
+        found = order[low:high][DEN * both >= NUM * (sizes[i] + n[low:high] - both)]
+        a.append(np.full(len(found), i))
+        b.append(found - (len(left) if right else 0))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _cell(rows: pa.Table) -> pa.RecordBatch:
+    """unit, n: the ids that each unit links to within a pair of blocks, from rows unit, weight, other, shingles."""
+    unit, weight, other = (rows.column(x).to_numpy() for x in ("unit", "weight", "other"))
+    sets = [np.frombuffer(x.as_buffer(), U) for x in rows.column("shingles")]
+    x, y = np.flatnonzero(~other), np.flatnonzero(other)
+    if rows.column("i")[0] == rows.column("j")[0]:
+        y = x
+        a, b = linked([sets[k] for k in x], None)
+    else:
+        a, b = linked([sets[k] for k in x], [sets[k] for k in y]) if len(x) and len(y) else (x[:0], y[:0])
+    a, b = x[a], y[b]
+    swap = unit[a] > unit[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
+    _, once = np.unique(np.stack([unit[a], unit[b]]), axis=1, return_index=True)  # units of several texts
+    a, b = a[once], b[once]
+    apart = unit[a] != unit[b]
+    a, b = a[apart], b[apart]
+    units, at = np.unique(np.concatenate((unit[a], unit[b])), return_inverse=True)
+    n = np.zeros(len(units), np.int64)
+    np.add.at(n, at, np.concatenate((weight[b], weight[a])))
+    return pa.record_batch({"unit": pa.array(units), "n": pa.array(n)})  # a row for each unit, not for each pair
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of every cell (component, i, j); the rows of a cell are together."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        keys = np.stack([b.column(x).to_numpy() for x in ("component", "i", "j")], 1)
+        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for start, stop in zip(cut, cut[1:]):
+            if start == stop:
+                continue
+            if held and now != tuple(keys[start]):
+                yield _cell(pa.Table.from_batches(held))
+                held = []
+            now = tuple(keys[start])
+            held.append(b.slice(start, stop - start))
+    if held:
+        yield _cell(pa.Table.from_batches(held))
+
+
 def _overlap() -> Column:
     """The shingles that two sets of an and bn must have in common to link."""
     return F.ceil((F.col("an") + F.col("bn")) * NUM / (NUM + DEN))
@@ -255,32 +334,64 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     return links, found
 
 
-def _all_components(docs: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """node, component of every id that is in a group of two or more; docs: as texts() has them."""
-    _, copies, n_copies = common.exact_copies(docs, scratch)
+def _all_components(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """node, component of every id that is in a group of two or more, and the keys of all rows; docs: as texts() has them."""
+    keys, copies, n_copies = common.exact_copies(docs, scratch)
     _, found = _search(common.without(docs.filter("doc_id is not null"), copies.select("doc_id"), n_copies), scratch, "near")
     if not n_copies:
-        return found
+        return found, keys
     twins = copies.select("doc_id", "rep").distinct().join(found, F.col("rep") == F.col("node"), "left")
     with_twins = F.coalesce("component", "rep")
     reps = copies.select(F.col("rep").alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return scratch.write(found.unionByName(reps).unionByName(twins.select(F.col("doc_id").alias("node"), with_twins.alias("component"))), "grouped")
+    return scratch.write(found.unionByName(reps).unionByName(twins.select(F.col("doc_id").alias("node"), with_twins.alias("component"))), "grouped"), keys
+
+
+def _link_counts(docs: DataFrame, found: DataFrame, keys: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """node, component, n_links of every id in found: with how many other ids it has a linked or an equal text."""
+    mine = keys.filter("has_word and doc_id is not null").join(found, F.col("doc_id") == F.col("node"))
+    nodes = mine.groupBy("node", "component").agg(F.sha2(F.concat_ws(" ", F.array_sort(F.collect_set("digest"))), 256).alias("kind"))
+    nodes = scratch.write(nodes, "nodes")
+    kinds = scratch.write(nodes.groupBy("component", "kind").agg(F.min("node").alias("unit"), F.count("*").alias("weight")), "kinds")
+    several = kinds.groupBy("component").agg(F.count("*").alias("c")).filter("c > 1").select("component")
+    units = scratch.write(kinds.join(several, "component", "left_semi").select("component", "unit", "weight"), "units")
+    sets = common.within(docs, units.select(F.col("unit").alias("doc_id")), units.count()).mapInArrow(_sets, "doc_id long, shingles binary").filter(F.length("shingles") > 0).dropDuplicates()
+    members = scratch.write(sets.withColumnRenamed("doc_id", "unit").join(units, "unit"), "unit_sets")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.length("shingles")) / (8 * BLOCK_SHINGLES)))
+    large = scratch.write(members.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1"), "blocks")  # few: each has a block's worth of members
+    dealt = members.join(F.broadcast(large), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("unit"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("other"), "unit", "weight", "shingles")
+    cells = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    linked_to = scratch.write(cells.mapInArrow(_cells, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")), "linked")
+    scratch.drop("unit_sets", "units")
+    counts = scratch.write(kinds.join(linked_to, "unit", "left").select("component", "kind", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "kind_links")
+    return scratch.write(nodes.join(counts, ["component", "kind"]).select("node", "component", "n_links"), "node_links")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     common.ship(docs.sparkSession)
     docs = common.texts(docs)
-    found = _all_components(docs, common.Scratch(docs.sparkSession, "jaccard"))
+    found, _ = _all_components(docs, common.Scratch(docs.sparkSession, "jaccard"))
     sizes = docs.mapInArrow(_sizes, "doc_id long, n_shingles long")
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def linked_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row of docs (doc_id, text); n_links: the other ids that it links with."""
+    common.ship(docs.sparkSession)
+    docs = common.texts(docs)
+    scratch = common.Scratch(docs.sparkSession, "jaccard")
+    counts = _link_counts(docs, *_all_components(docs, scratch), scratch)
+    sizes = docs.mapInArrow(_sizes, "doc_id long, n_shingles long")
+    return sizes.join(counts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the smallest id of their group, with the columns of docs."""
     common.ship(docs.sparkSession)
     scratch = common.Scratch(docs.sparkSession, "jaccard")
-    found = _all_components(common.texts(docs), scratch)
+    found, _ = _all_components(common.texts(docs), scratch)
     gone = scratch.write(found.filter("node != component").select(F.col("node").alias("_gone")), "gone")
     n = gone.count()
     mine = common.carried(docs)

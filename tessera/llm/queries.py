@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import decontaminate
 from .hmm import score as hmm_score
-from .jaccard import near_copies
+from .jaccard import linked_copies
 from .licenses import scan
 from .packing import pack
 from .quality import SQL as QUALITY_SQL
@@ -29,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": _documents(scan),
         "op2_packing": _documents(pack),
         "op3_substring_dedup": _documents(cut_repeats),
-        "op4_ngram_jaccard": _documents(near_copies),
+        "op4_ngram_jaccard": _documents(linked_copies),
         "op5_token_counts": _documents(count_tokens),
         "op6_sharding": _documents(shard),
         "op7_quality_rules": lambda spark, sf_dir: score(table(spark, sf_dir, "documents")).drop("failed_rule"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -61,6 +62,43 @@ def test_star_rounds_and_order_lose_no_link(spark, tricky, monkeypatch, pairs_at
     check(tricky, tricky_rows())
 
 
+def check_links(df, rows):
+    nodes, least = {}, grouped(rows)
+    for d, t in rows:
+        nodes.setdefault(d, set()).add(shingles(t))
+    linked = lambda a, b: any(100 * len(x & y) >= 75 * len(x | y) for x in nodes[a] for y in nodes[b] if x and y)
+    n = Counter(x for p in combinations([d for d in nodes if d is not None], 2) if linked(*p) for x in p)
+    got = [tuple(r) for r in jaccard.linked_copies(df).collect()]
+    want = [(d, len(shingles(t)), least.get(d), n[d]) for d, t in rows]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    return sum(n.values())
+
+
+@pytest.mark.parametrize("texts_in_block, shingles_in_block", [(500, 1 << 20), (1, 1 << 20), (500, 300)])
+def test_all_links_are_counted(spark, monkeypatch, texts_in_block, shingles_in_block):
+    """A group of edited copies in which not all link, exact copies among them, and an id that has two of its texts."""
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", texts_in_block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles_in_block)
+    words = [f"w{i}" for i in range(150)]
+    edited = [" ".join(w if j // 3 not in range(i, i + 3) else f"x{i}" for j, w in enumerate(words)) for i in range(0, 40, 3)]
+    rows = list(enumerate([*edited, edited[0], edited[0], edited[4], "alone here", None, "a b", "A b", "a b"]))
+    rows += [(2, edited[9]), (2, edited[2]), (90, "c d"), (90, "a b"), (91, "e f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert check_links(df, rows) > 100
+
+
+def test_links_of_documents(documents, pairs, tricky):
+    check_links(documents, pairs)
+    check_links(tricky, tricky_rows())
+
+
+def test_op4_has_links(spark):
+    from tessera.llm import queries as llm_queries
+
+    assert llm_queries.queries()["op4_ngram_jaccard"](spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+
+
 def test_keep_one(tricky):
     least = grouped(tricky_rows())
     kept = jaccard.keep_one(tricky)
