@@ -291,6 +291,21 @@ def order_by_expr(t):
     return op.limit(op.order_by(t.lineitem, (wide("l_partkey") - wide("l_suppkey")).desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), 30).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderstatus ASC, o_custkey DESC, o_orderkey")
+def order_by_asc_desc_whole(t):
+    return op.order_by(t.orders, c("o_orderstatus").asc(), c("o_custkey").desc(), "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query("SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+def order_by_unselected_whole(t):
+    return op.order_by(t.orders, c("o_totalprice").desc(), "o_orderkey").select("o_custkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_partkey - l_suppkey DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice")
+def order_by_expr_whole(t):
+    return op.order_by(t.lineitem, (wide("l_partkey") - wide("l_suppkey")).desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 @query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10")
 def limit(t):
     return op.limit(op.order_by(t.customer, "c_custkey"), 10).select("c_custkey")
@@ -350,6 +365,21 @@ def nested_derived(t):
     return t.sql(_NESTED, "customer")
 
 
+_NESTED_WHOLE = """
+SELECT a_name, b_name FROM (
+  SELECT a.c_name AS a_name, b.c_name AS b_name, a.c_acctbal AS a_bal, b.c_acctbal AS b_bal
+  FROM (SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM {customer}) a,
+       (SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM {customer}) b
+  WHERE a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey) sub
+WHERE a_bal < b_bal AND a_name > b_name
+"""
+
+
+@query(_NESTED_WHOLE.replace("{", "").replace("}", ""))
+def nested_derived_whole(t):
+    return t.sql(_NESTED_WHOLE, "customer")
+
+
 # ---- changes
 
 
