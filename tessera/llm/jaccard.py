@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by T-occurrence search, as DivideSkip does it, and groups of near copies.
+"""N-gram Jaccard join by prefix lists with a positional bound, and groups of near copies.
 
 Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
 
@@ -6,17 +6,18 @@ Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
   group of the smallest id with that text.
 * A set of n shingles can only link with one that shares at least
   T = ceil(0.75 n) of them. DivideSkip parts its n inverted lists: the T - 1
-  longest are only probed, the others (the prefix) are merged. Here the short
-  lists are the rows (shingle, id) of the prefixes, brought together by one
-  shuffle; a set that links occurs in one of them at least.
+  longest are only probed, the others (the prefix) are merged by a heap. Here
+  there is no heap: the short lists are the rows (shingle, id) of the prefixes,
+  brought together by one shuffle, as lists are spread over machines; a set
+  that links occurs in one of them at least.
 * The order that tells long lists from short ones: shingles that are frequent
   (counted in every partition, summed over all) come last, the most frequent
   at the end; all others in order of their hash, which costs no count. Any
   order gives whole results; this one keeps merged lists short.
 * Candidates are pairs within the length and the positional bound that are in as
   many short lists as a link needs (T less the long lists, and more where both
-  prefixes say so); their long lists are probed by binary search in the other's
-  sorted shingles.
+  prefixes say so); then the whole smaller set is searched in the other's sorted
+  shingles.
 * Lists are not turned into all their pairs. In each star round every list
   links its members to one centre; found links join members to components, and
   only pairs between components are left. When these are few, or a round no
