@@ -82,12 +82,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
     n = bands()
     wanted = spark.createDataFrame([(r.template, r.template.split("/")[0], sizes[r.template], r.needed) for r in rows], "template string, license string, s int, needed array<bigint>")
     minima = wanted.select("template", "license", "s", "needed", F.explode(_signature(F.col("needed"), n)).alias("m")).select("template", "license", "s", "needed", "m.*")
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("all"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), shingles(text).alias("all"))
     some = read.withColumn("common", F.array_intersect("all", every)).filter(F.size("common") > 0)
     hits = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains("common", x), i).otherwise(-1)), lambda i: i >= 0)
-    seen = some.select("doc_id", F.explode(let(hits, lambda h: _windows(F.col("all"), h, sorted(set(sizes.values()))))).alias("w")).select("doc_id", "w.*")
-    signed = seen.select("doc_id", "s", "start", "window", F.explode(_signature(F.col("window"), n)).alias("m")).select("doc_id", "s", "start", "window", "m.*")
-    found = signed.join(F.broadcast(minima), ["s", "band", "least"]).dropDuplicates(["doc_id", "s", "start", "template"])
+    seen = some.select("doc_id", "digest", F.explode(let(hits, lambda h: _windows(F.col("all"), h, sorted(set(sizes.values()))))).alias("w")).select("doc_id", "digest", "w.*")
+    signed = seen.select("doc_id", "digest", "s", "start", "window", F.explode(_signature(F.col("window"), n)).alias("m")).select("doc_id", "digest", "s", "start", "window", "m.*")
+    found = signed.join(F.broadcast(minima), ["s", "band", "least"]).dropDuplicates(["doc_id", "digest", "s", "start", "template"])
     share = F.size(F.array_intersect("window", "needed")) / F.size("needed")
     first = F.array_position(F.transform("window", lambda x: F.array_contains("needed", x)), True)
     checked = found.withColumn("containment", share).filter(F.col("containment") >= CONTAINMENT).withColumn("first_word", F.col("start") + first - 1)

@@ -159,3 +159,14 @@ def test_oracle(spark, name):
     from oracle import compare
 
     compare(spark, llm_queries.queries()[name], llm_queries.oracle_sql()[name], FOLDER)
+
+
+@pytest.mark.parametrize("one_id", [7, None])
+def test_licenses_in_different_texts_of_one_id(spark, one_id):
+    """Every text of an id is scanned: its windows are those of the texts under ids of their own."""
+    from tessera.llm.license_templates import TEMPLATES
+
+    texts = [f"{body} {tail}" for body in [TEMPLATES[k] for k in sorted(TEMPLATES)[:2]] for tail in ("first end", "other end")]
+    count = lambda ids: Counter({r[0]: r[1] for r in licenses.scan(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).groupBy("template").agg({"n_windows": "sum"}).collect()})
+    apart = count(range(4))
+    assert apart and count([one_id] * 4) == apart
