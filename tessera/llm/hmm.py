@@ -12,9 +12,11 @@ words' shares, a proper probability over words and one unknown for each bucket.
 
 Training: from a random first guess around the corpus' class shares, ROUNDS
 iterations of Baum-Welch run over all training documents, expected counts being
-added up in each task and summed across partitions. A training document of more
-than SEGMENT tokens counts as pieces of that length, all of which are read.
-Scoring is the scaled forward recursion over the whole document, not cut.
+added up in each task and summed across partitions. Every training document is
+one sequence, however long: the pieces in which a long one is computed start and
+end with the exact forward and backward numbers. Scoring is the scaled forward
+recursion over the whole document. Row order and layout change nothing but the
+last digits of sums.
 
 Only the classes' parameters, bounded by OWN and BUCKETS, and the counts of the
 TABLE most frequent words go to the tasks; all rarer words are counted and
@@ -22,7 +24,9 @@ scored by a join on the word.
 
 Null and empty texts are an end alone. A null id counts as training. Repeated
 rows are scored each. An empty table gives no rows; without training rows all
-is unknown. Extra columns are ignored. Words are compared by 64-bit hashes.
+is unknown. Of equally frequent words at the bound of the OWN ones those of the
+smaller hash have a class. Extra columns are ignored. Words are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,9 +49,12 @@ OWN_LEAST = 5
 BUCKETS = 512
 TABLE = 200_000
 ROUNDS = 14
-SEGMENT = 2_048
-#: Tokens whose forward and backward numbers are held at once.
+#: Tokens of a piece of a long document; steps between two scalings of a product; tokens whose forward and backward numbers are held at once.
+PIECE = 2_048
+RESCALE = 8
 BATCH = 1 << 18
+#: Training tokens of one task of a round at most, about. Each task returns a row for each class, so few large tasks shuffle least.
+TASK_TOKENS = 1 << 27
 #: Pseudo-tokens of the corpus' own class shares in each state, and of uniform moves between states.
 PRIOR = 200.0
 MOVES = 1.0
@@ -172,84 +179,158 @@ class Model:
         return cls((start + MOVES) / (start.sum() + MOVES * k), (move + MOVES) / (move.sum(1, keepdims=True) + MOVES * k), emit / emit.sum(0))
 
 
-def _runs(sequences: list[np.ndarray], limit: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Sequences from long to short in runs of about ``limit`` items: (their indexes, starts in a run's items, items)."""
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+def _runs(lengths: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Indexes of sequences from long to short, in runs of about ``limit`` items."""
+    order = np.argsort(-lengths, kind="stable")
+    sums = np.cumsum(lengths[order])
     at = 0
     while at < len(order):
-        end, size = at, 0
-        while end < len(order) and (end == at or size + len(sequences[order[end]]) <= limit):
-            size += len(sequences[order[end]])
-            end += 1
-        mine = order[at:end]
-        yield mine, np.cumsum([0, *(len(sequences[i]) for i in mine)]), np.concatenate([sequences[i] for i in mine]).astype(np.int64)
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + limit, "right")))
+        yield order[at:end]
         at = end
 
 
-def _active(starts: np.ndarray) -> np.ndarray:
-    """For each time step, how many of the sequences (from long to short) still run."""
-    lengths = np.diff(starts)
-    return np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
+class _Run:
+    """Sequences from long to short side by side: ``items`` holds the first of each, then the second of each, and so on."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        lengths = np.array([len(x) for x in sequences])
+        #: For each time step, how many of the sequences still run, and where its items start.
+        self.active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        self.edge = np.concatenate(([0], np.cumsum(self.active)))
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        time = np.arange(starts[-1]) - np.repeat(starts[:-1], lengths)
+        self.items = np.empty(starts[-1], np.int64)
+        self.items[self.edge[time] + np.repeat(np.arange(len(sequences)), lengths)] = np.concatenate(sequences)
+
+
+def _products(model: Model, pieces: list[np.ndarray], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the chances (K x K) of its items and its last state, given the state before it, scaled, and the logarithm of the scale.
+
+    heads: pieces that start a sequence, whose first state follows ``start``, whatever the row.
+    """
+    k, out, scales = len(model.start), np.empty((len(model.start),) * 2 + (len(pieces),)), np.empty(len(pieces))
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    for mine in _runs(np.array([len(x) for x in pieces]), BATCH // k):
+        run = _Run([pieces[i] for i in mine])
+        state, log = None, np.zeros(len(mine))
+        for t, n in enumerate(run.active):
+            now = emit[:, run.items[run.edge[t] : run.edge[t + 1]]]
+            if state is None:  # state[j, i]: the state reached, from the state before
+                state = np.where(heads[mine], model.start[:, None, None], move[:, :, None]) * now[:, None, :]
+            else:
+                if n < state.shape[2]:
+                    out[:, :, mine[n : state.shape[2]]] = state[:, :, n:].transpose(1, 0, 2)
+                    state = state[:, :, :n]
+                state = (move @ state.reshape(k, -1)).reshape(k, k, n) * now[:, None, :]
+            if t % RESCALE == 0:
+                most = state.max((0, 1))
+                state /= most
+                log[:n] += np.log(most)
+        out[:, :, mine[: state.shape[2]]] = state.transpose(1, 0, 2)
+        scales[mine] = log
+    return out, scales
+
+
+def _cut(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pieces of PIECE items at most, in order, the sequence of each, and which of them start one."""
+    pieces = [x[i : i + PIECE] for x in sequences for i in range(0, len(x), PIECE)]
+    owner = np.repeat(np.arange(len(sequences)), np.array([-(-len(x) // PIECE) for x in sequences], np.int64))
+    return pieces, owner, np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.bool_)
 
 
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Natural logarithms of the probabilities of class sequences, by the scaled forward recursion."""
-    out = np.zeros(len(sequences))
-    for mine, starts, items in _runs([s for s in sequences], BATCH * 8):
-        score = np.zeros(len(mine))
-        state = None
-        for t, n in enumerate(_active(starts)):
-            now = model.emit[items[starts[:n] + t]]
-            state = now * (model.start if state is None else state[:n] @ model.move)
-            scale = state.sum(1)
-            state /= scale[:, None]
+    """Natural logarithms of the probabilities of class sequences, by the scaled forward recursion.
+
+    A sequence of more than PIECE items goes piece by piece as products of
+    matrices, which is the same recursion in another order of multiplication.
+    """
+    out, emit, move = np.zeros(len(sequences)), np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    lengths = np.array([len(s) for s in sequences], np.int64)
+    short = np.flatnonzero(lengths <= PIECE)
+    for mine in _runs(lengths[short], BATCH * 4):
+        run = _Run([sequences[i] for i in short[mine]])
+        score, state = np.zeros(len(mine)), None
+        for t, n in enumerate(run.active):
+            now = emit[:, run.items[run.edge[t] : run.edge[t + 1]]]
+            state = now * (model.start[:, None] if state is None else move @ state[:, :n])
+            scale = state.sum(0)
+            state /= scale
             score[:n] += np.log(scale)
-        out[mine] = score
+        out[short[mine]] = score
+    long = np.flatnonzero(lengths > PIECE)
+    if len(long):
+        pieces, owner, heads = _cut([sequences[i] for i in long])
+        steps, scales = _products(model, pieces, heads)
+        for p, i in enumerate(owner):
+            row = (np.eye(1, len(model.start))[0] if heads[p] else row) @ steps[:, :, p]  # noqa: F821
+            total = row.sum()
+            row = row / total
+            out[long[i]] += np.log(total) + scales[p]
     return out
 
 
 def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions (one Baum-Welch step)."""
+    """Expected counts of starts, moves and emissions (one Baum-Welch step).
+
+    The pieces of a long sequence run side by side, each from the exact
+    forward numbers at its start and with the exact backward numbers at its
+    end, which products over pieces give; so cutting changes no count.
+    """
     k, c = len(model.start), len(model.emit)
-    start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
-    for _, starts, items in _runs(sequences, BATCH):
-        active = _active(starts)
-        edge = np.concatenate(([0], np.cumsum(active)))
-        total = int(edge[-1])
-        alpha, scale = np.empty((total, k)), np.empty(total)
-        classes = np.concatenate([items[starts[:n] + t] for t, n in enumerate(active)]) if total else np.zeros(0, np.int64)
-        emitted = model.emit[classes]
+    start, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
+    pieces, owner, heads = _cut(sequences)
+    before, after = np.ones((k, len(pieces))), np.ones((k, len(pieces)))  # forward numbers before a piece, backward ones at its end
+    tails = np.concatenate((heads[1:], [True])) if len(heads) else heads
+    part = np.flatnonzero(~(heads & tails))  # pieces of longer sequences
+    if len(part):
+        steps, _ = _products(model, [pieces[i] for i in part], heads[part])
+        for at, p in enumerate(part):
+            row = (np.eye(1, k)[0] if heads[p] else before[:, p]) @ steps[:, :, at]
+            if not tails[p]:
+                before[:, p + 1] = row / row.sum()
+        for at, p in reversed(list(enumerate(part))):
+            if not heads[p]:
+                column = steps[:, :, at] @ after[:, p]
+                after[:, p - 1] = column / column.sum()
+    emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
+    for mine in _runs(np.array([len(x) for x in pieces], np.int64), BATCH):
+        run = _Run([pieces[i] for i in mine])
+        edge, active, last = run.edge, run.active, after[:, mine]
+        weight = np.take(emit, run.items, axis=1)
+        alpha, scale = weight.copy(), np.empty(len(run.items))
         for t, n in enumerate(active):
+            now = alpha[:, edge[t] : edge[t + 1]]
+            now *= np.where(heads[mine], model.start[:, None], move @ before[:, mine]) if t == 0 else move @ alpha[:, edge[t - 1] : edge[t - 1] + n]
+            total = now.sum(0)
+            now /= total
+            scale[edge[t] : edge[t + 1]] = total
+        weight /= scale
+        beta = np.empty_like(alpha)
+        later = 0  # sequences that go on behind the time step
+        for t in range(len(active) - 1, -1, -1):
             a, b = edge[t], edge[t + 1]
-            before = model.start if t == 0 else alpha[edge[t - 1] : edge[t - 1] + n] @ model.move
-            state = emitted[a:b] * before
-            scale[a:b] = state.sum(1)
-            alpha[a:b] = state / scale[a:b, None]
-        beta = np.ones((total, k))
-        weight = np.empty((total, k))
-        back = model.move.T
-        for t in range(len(active) - 1, 0, -1):
-            a, b, n = edge[t], edge[t + 1], active[t]
-            weight[a:b] = emitted[a:b] * beta[a:b] / scale[a:b, None]
-            beta[edge[t - 1] : edge[t - 1] + n] = weight[a:b] @ back
-        gamma = alpha * beta
-        gamma /= gamma.sum(1, keepdims=True)
+            if later:
+                np.matmul(model.move, weight[:, b : b + later], out=beta[:, a : a + later])
+            if later < active[t]:
+                ends = last[:, later : active[t]]
+                beta[:, a + later : b] = ends / (alpha[:, a + later : b] * ends).sum(0)
+            weight[:, a:b] *= beta[:, a:b]
+            later = active[t]
+        beta *= alpha
         for j in range(k):
-            emit[:, j] += np.bincount(classes, gamma[:, j], c)
-        if total:
-            start += gamma[: edge[1]].sum(0)
+            emitted[j] += np.bincount(run.items, beta[j], c)
+        start += beta[:, : edge[1]][:, heads[mine]].sum(1)
+        inside = ~heads[mine]
+        moved += before[:, mine[inside]] @ weight[:, : edge[1]][:, inside].T
         if len(active) > 1:
-            before = np.concatenate([np.arange(edge[t - 1], edge[t - 1] + active[t]) for t in range(1, len(active))])
-            move += model.move * (alpha[before].T @ weight[edge[1] :])
-    return start, move, emit
+            came = np.arange(edge[1], edge[-1]) - np.repeat(active[:-1], active[1:])
+            moved += np.take(alpha, came, axis=1) @ weight[:, edge[1] :].T
+    return start, model.move * moved, emitted.T
 
 
-def _pieces(classes: pa.Array) -> list[np.ndarray]:
-    out = []
-    for x in classes:
-        whole = np.frombuffer(x.as_buffer(), "<u2")
-        out += [whole[i : i + SEGMENT] for i in range(0, len(whole), SEGMENT)]
-    return out
+def _sequences(classes: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in classes]
 
 
 def _expect(model: Model):
@@ -259,7 +340,7 @@ def _expect(model: Model):
         k = len(model.start)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
         for b in batches:
-            for i, x in enumerate(expect(model, _pieces(b.column("classes")))):
+            for i, x in enumerate(expect(model, _sequences(b.column("classes")))):
                 (start, move, emit)[i][...] += x
         some = np.flatnonzero(emit.any(1))
         rows = np.concatenate((start[None], move, emit[some]))
@@ -271,7 +352,7 @@ def _expect(model: Model):
 
 def _round(model: Model, training: DataFrame, share: np.ndarray) -> Model:
     k = len(model.start)
-    rows = training.select("classes").mapInArrow(_expect(model), "class long, " + ", ".join(f"s{j} double" for j in range(k)))
+    rows = training.mapInArrow(_expect(model), "class long, " + ", ".join(f"s{j} double" for j in range(k)))
     sums = rows.groupBy("class").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k))).toArrow()  # one row for each class at most
     names, values = sums.column(0).to_numpy(), np.stack([sums.column(1 + j).to_numpy() for j in range(k)], 1)
     start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
@@ -287,7 +368,7 @@ def _round(model: Model, training: DataFrame, share: np.ndarray) -> Model:
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = forward(model, [np.frombuffer(x.as_buffer(), "<u2") for x in b.column("classes")]) / math.log(10)
+            got = forward(model, _sequences(b.column("classes"))) / math.log(10)
             yield pa.record_batch({"row": b.column("row"), "classes_score": pa.array(got)})
 
     return run
@@ -318,7 +399,8 @@ def score(docs: DataFrame, *, states: int = STATES, own: int = OWN, table: int =
     share = np.concatenate(([ends], own_n, bucket_tokens)).astype(float) + 1
     share /= share.sum()
     encoded = scratch.write(docs.mapInArrow(_encode(vocabulary), _ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    learning = encoded.filter("not held_out")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-train_tokens // TASK_TOKENS))
+    learning = encoded.filter("not held_out").select("classes").coalesce(tasks)
     model = Model.guess(share, states)
     for _ in range(rounds if ends else 0):
         model = _round(model, learning, share)
