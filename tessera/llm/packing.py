@@ -1,13 +1,16 @@
 """Packing of documents into sequences: first-fit decreasing in randomised groups.
 
-A document's ids (with its end id) are cut into pieces of at most ``length``;
-each piece is dealt by a hash of its key to one of enough groups that a group
-has about ``group`` pieces, however few keys the table has. Each group is
-packed by itself: pieces from long to short, each into the leftmost sequence
-with room, found in a tournament tree over the sequences' free room.
-
-Null texts are empty: the end id alone. Equal ids and repeated rows are pieces
-like others. An empty table gives no rows. Extra columns are ignored.
+A document's ids (with its end id) are cut into pieces of at most ``length``.
+The pieces are written and numbered as they lie there; each is dealt by a hash
+of its number to one of enough groups that a group has about ``group`` pieces,
+so neither equal ids nor repeated rows fill one group. Each group is packed by
+itself: pieces from long to short, each into the leftmost sequence with room,
+found in a tournament tree over the sequences' free room.
+
+Null and empty texts are the end id alone. A very long text is many pieces,
+written as they are cut. Of equally long pieces the one of the smaller doc_id
+(nulls last), start and checksum comes first. Equal ids and repeated rows are
+pieces like others. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,6 +100,6 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, length: int = 4096, e
     pieces = scratch.write(common.texts(docs).mapInArrow(_pieces(tokenizer or default_path(), end_id, length, with_ids), _DDL), "pieces")
     n = pieces.count()
     groups = max(1, round(n / group))
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(groups)))  # of a written table: the same in each attempt
     out = dealt.groupBy("pack_group").applyInArrow(_pack(length), f"{_DDL}, sequence_id long, offset long")
     return out if with_ids else out.drop("ids")
