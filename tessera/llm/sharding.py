@@ -1,21 +1,26 @@
 """Sharding by minimax contiguous partition of ordered atomic groups.
 
 Groups (equal texts) are ordered by their smallest doc_id and range-partitioned;
-each partition's running sums are written once. The smallest feasible capacity
-is found by binary search, each candidate checked greedily: a shard takes
-groups while they fit. The greedy check only needs "the last group whose
-running sum is at most x", and answers it from a two-level index: sums of
-blocks of groups, at most BLOCKS of them, and the rows of the few blocks in
-which a cut can lie. Neither grows with the table, and no group is cut.
-
-Null and empty texts are one group. Null ids sort first. Repeated rows are rows
-of one group. An empty table gives no rows. Extra columns are ignored.
+each partition's ranks are written once. The smallest feasible capacity is found
+by binary search, each candidate checked greedily: a shard takes groups while
+they fit. The greedy check only needs "the last group whose running sum is at
+most x". It is answered from an index of as many levels as needed: sums of runs
+of groups, of which only those in which a cut can still lie are parted again,
+by one aggregation on the executors, until they are single groups. The driver
+gets one row for each partition, and at most ``rows`` for each level. No group
+is cut.
+
+Null and empty texts are one group. Null ids sort first; groups of the same
+smallest id are ordered by their SHA-256. A very long text is one heavy group.
+Repeated rows are rows of one group. An empty table gives no rows. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Blocks of groups that the driver holds sums of, at most (and one for each partition).
-BLOCKS = 1 << 15
+#: Sums that one level of the index adds, at most.
+ROWS = 1 << 15
 
 
 def greedy(last: Callable[[int], int], total: int, shards: int, capacity: int) -> list[int] | None:
@@ -54,54 +59,78 @@ def smallest_capacity(last: Callable[[int], int], total: int, heaviest: int, sha
     return lo
 
 
+@dataclass
+class _Run:
+    """Groups of one partition with ranks from first to beyond: their running sum's end."""
+
+    end: int
+    part: int
+    first: int
+    beyond: int
+
+    def __len__(self) -> int:
+        return self.beyond - self.first
+
+
 class _Sums:
-    """last(x) over the written groups: (part, block) sums here, rows fetched where asked for."""
-
-    def __init__(self, groups: DataFrame, per_block: int):
-        self.groups, self.per_block = groups, per_block
-        rows = groups.groupBy("part", F.floor(F.col("rank") / per_block).alias("block")).agg(F.sum("weight").alias("weight")).collect()
-        rows.sort(key=lambda r: (r.part, r.block))
-        self.blocks, self.ends, at = [], [], 0
-        for r in rows:
-            at += r.weight
-            self.blocks.append((r.part, r.block))
-            self.ends.append(at)
-        self.rows: dict[int, list[int]] = {}
+    """Runs of the written groups, in order, with their running sums."""
+
+    def __init__(self, groups: DataFrame, rows: int):
+        self.groups, self.rows = groups, rows
+        self.runs, at = [], 0
+        for part, n, weight in sorted(groups.groupBy("part").agg(F.count("*"), F.sum("weight")).collect()):  # one row for each partition
+            at += weight
+            self.runs.append(_Run(at, part, 0, n))
+        self.ends = [r.end for r in self.runs]
 
     @property
     def total(self) -> int:
         return self.ends[-1] if self.ends else 0
 
-    def coarse(self, x: int) -> int:
-        """last(x) where cuts between blocks alone are allowed."""
+    def holding(self, x: int) -> int:
+        """The index of the run in which, or at whose end, the running sum x lies."""
+        return min(bisect.bisect_left(self.ends, x), len(self.ends) - 1)
+
+    def low(self, x: int) -> int:
+        """last(x) where runs are not cut: at most the true one."""
         i = bisect.bisect_right(self.ends, x)
         return self.ends[i - 1] if i else 0
 
-    def block_of(self, x: int) -> int:
-        return min(bisect.bisect_right(self.ends, x), len(self.ends) - 1)
-
-    def fetch(self, wanted: set[int]) -> None:
-        """Running sums of all groups in some blocks, in one job."""
-        wanted = {i for i in wanted if i not in self.rows}
-        if not wanted:
-            return
-        keys = self.groups.sparkSession.createDataFrame([(i, *map(int, self.blocks[i])) for i in wanted], "i long, part long, block long")
-        found = self.groups.withColumn("block", F.floor(F.col("rank") / self.per_block)).join(F.broadcast(keys), ["part", "block"]).select("i", "rank", "weight").collect()
-        for i in wanted:
-            self.rows[i] = []
-        for r in sorted(found):
-            at = self.rows[r.i][-1] if self.rows[r.i] else (self.ends[r.i - 1] if r.i else 0)
-            self.rows[r.i].append(at + r.weight)
-
-    def last(self, x: int) -> int:
-        i = self.block_of(x)
-        if x >= self.ends[i]:
-            return self.ends[i]
-        if i not in self.rows:
-            self.fetch({i})
-        rows = self.rows[i]
-        j = bisect.bisect_right(rows, x)
-        return rows[j - 1] if j else (self.ends[i - 1] if i else 0)
+    def high(self, x: int) -> int:
+        """last(x) where runs of several groups are cut anywhere: at least the true one."""
+        i = bisect.bisect_right(self.ends, x)
+        at = self.ends[i - 1] if i else 0
+        return max(at, x) if i < len(self.runs) and len(self.runs[i]) > 1 else at
+
+    def part_again(self, wanted: list[int]) -> None:
+        """Parts some runs into as many smaller ones as a level may add, in one job."""
+        fan = max(2, self.rows // len(wanted))
+        keys = [(i, self.runs[i].part, self.runs[i].first, self.runs[i].beyond, -(-len(self.runs[i]) // fan)) for i in wanted]
+        spark = self.groups.sparkSession
+        runs = F.broadcast(spark.createDataFrame(keys, "i long, run_part long, first_rank long, beyond long, step long"))
+        mine = self.groups.filter(F.col("part").isin(sorted({k[1] for k in keys})) if len(keys) <= 100 else F.lit(True))
+        mine = mine.join(runs, (F.col("part") == F.col("run_part")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("beyond")))
+        found = sorted(mine.groupBy("i", F.floor((F.col("rank") - F.col("first_rank")) / F.col("step")).alias("j"), "step").agg(F.sum("weight")).collect())
+        finer: dict[int, list[_Run]] = {}
+        for i, j, step, weight in found:
+            run, new = self.runs[i], finer.setdefault(i, [])
+            at = new[-1].end if new else (self.ends[i - 1] if i else 0)
+            new.append(_Run(at + weight, run.part, run.first + j * step, min(run.beyond, run.first + (j + 1) * step)))
+        self.runs = [x for i, run in enumerate(self.runs) for x in finer.get(i, [run])]
+        self.ends = [r.end for r in self.runs]
+
+    def cuts(self, heaviest: int, shards: int) -> list[int]:
+        """Running sums at which shards 0, 1, ... end at the smallest feasible capacity."""
+        while True:
+            enough = smallest_capacity(self.low, self.total, heaviest, shards, self.total)
+            least = smallest_capacity(self.high, self.total, heaviest, shards, enough)
+            wanted, lo, hi = set(), 0, 0
+            for _ in range(shards):  # each cut at each capacity in question lies between these two
+                lo, hi = self.low(lo + least), self.high(hi + enough)
+                wanted |= {i for i in range(self.holding(min(lo + 1, self.total)), self.holding(hi) + 1) if len(self.runs[i]) > 1 and lo < self.total}
+            if not wanted:
+                return greedy(self.low, self.total, shards, enough)
+            self.part_again(sorted(sorted(wanted, key=lambda i: -len(self.runs[i]))[: max(1, self.rows // 2)]))
 
 
 def _ranked(part_col: str, by: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -125,44 +154,30 @@ def _ranked(part_col: str, by: list[str]) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def shard(docs: DataFrame, *, shards: int = 8, blocks: int = BLOCKS) -> DataFrame:
+def shard(docs: DataFrame, *, shards: int = 8, rows: int = ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row; equal texts share a shard."""
     spark = docs.sparkSession
     common.ship(spark)
     scratch = common.Scratch(spark, "sharding")
-    rows = common.texts(docs)
-    rows = scratch.write(rows.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"), F.sha2("text", 256).alias("digest")), "rows")
-    weights = rows.groupBy("digest").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("first"))
+    sized = common.texts(docs)
+    sized = scratch.write(sized.select("doc_id", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"), F.sha2("text", 256).alias("digest")), "rows")
+    weights = sized.groupBy("digest").agg(F.sum("size").alias("weight"), F.min("doc_id").alias("first"))
     heaviest, n = weights.agg(F.max("weight"), F.count("*")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = weights.repartitionByRange(parts, F.col("first").asc_nulls_first(), "digest").sortWithinPartitions(F.col("first").asc_nulls_first(), "digest")
     groups = scratch.write(ordered.mapInArrow(_ranked("part", []), "digest string, weight long, first long, part long, rank long"), "groups")
-    sums = _Sums(groups, max(1, -(-n // blocks)))
-    cuts: list[int] = []
-    if n:
-        enough = smallest_capacity(sums.coarse, sums.total, heaviest, shards, sums.total)
-        least = max(heaviest, -(-sums.total // shards))
-        near = set()
-        for i in range(1, shards):  # the i-th cut lies between those for the least and the sufficient capacity
-            near |= set(range(sums.block_of(max(0, i * least - i * heaviest)), sums.block_of(i * enough) + 1)) if i * (enough - least + heaviest) < sums.total // (4 * shards) else set()
-        sums.fetch(near if len(near) <= 256 else set())
-        capacity = smallest_capacity(sums.last, sums.total, heaviest, shards, enough)
-        cuts = greedy(sums.last, sums.total, shards, capacity)[:-1]
-    placed = scratch.write(rows.join(_shards(spark, groups, sums, cuts), "digest").select("doc_id", "size", "text_crc32", "shard"), "placed")
+    sums = _Sums(groups, rows)
+    cuts = sums.cuts(heaviest, shards)[:-1] if n else []
+    placed = scratch.write(sized.join(_shards(groups, sums, cuts), "digest").select("doc_id", "size", "text_crc32", "shard"), "placed")
     return _slots(placed, parts, scratch).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _shards(spark, groups: DataFrame, sums: _Sums, cuts: list[int]) -> DataFrame:
+def _shards(groups: DataFrame, sums: _Sums, cuts: list[int]) -> DataFrame:
     """digest, shard: the number of cuts at or before the group, by comparing (part, rank) with the cuts' places."""
     shard = F.lit(0)
     for cut in cuts:
-        i = bisect.bisect_left(sums.ends, cut)  # the block whose end is the first at or beyond the cut
-        if sums.ends[i] == cut:
-            part, rank = sums.blocks[i][0], (sums.blocks[i][1] + 1) * sums.per_block - 1
-        else:
-            sums.fetch({i})
-            part, rank = sums.blocks[i][0], sums.blocks[i][1] * sums.per_block + bisect.bisect_left(sums.rows[i], cut)
-        shard = shard + ((F.col("part") > int(part)) | ((F.col("part") == int(part)) & (F.col("rank") > int(rank)))).cast("int")
+        run = sums.runs[sums.holding(cut)]  # cuts are ends of runs
+        shard = shard + ((F.col("part") > run.part) | ((F.col("part") == run.part) & (F.col("rank") >= run.beyond))).cast("int")
     return groups.select("digest", shard.alias("shard"))
 
 

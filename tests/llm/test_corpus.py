@@ -52,9 +52,44 @@ def test_shards(tricky):
     check_shards(tricky_rows(), sharding.shard(tricky).collect())
 
 
-@pytest.mark.parametrize("blocks", [1 << 15, 3])
-def test_shards_of_documents(documents, pairs, blocks):
-    check_shards(pairs, sharding.shard(documents, blocks=blocks).collect())
+@pytest.mark.parametrize("rows", [1 << 15, 30])
+def test_shards_of_documents(documents, pairs, rows, monkeypatch):
+    """By an index of one level and of several, of which the driver gets no more rows than a level may add."""
+    levels, plain = [], sharding._Sums.part_again
+
+    def spied(self, wanted):
+        before = len(self.runs)
+        plain(self, wanted)
+        levels.append(len(self.runs) - before + len(wanted))
+
+    monkeypatch.setattr(sharding._Sums, "part_again", spied)
+    check_shards(pairs, sharding.shard(documents, rows=rows).collect())
+    assert levels and max(levels) <= rows and (len(levels) > 1) == (rows == 30)
+
+
+def test_one_text_that_weighs_most(spark):
+    rows = [(i, "x" * (5_000 if i % 3 == 0 else i % 7)) for i in range(200)] + [(300, "y" * 400_000)]
+    check_shards(rows, sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows=4).collect())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 50), min_size=1, max_size=40), st.integers(1, 9), st.integers(1, 6))
+def test_levels_find_the_cuts(sizes, shards, parts):
+    """Runs parted here as part_again does it on the executors."""
+    cut = [sizes[len(sizes) * p // parts : len(sizes) * (p + 1) // parts] for p in range(parts)]
+    sums = sharding._Sums.__new__(sharding._Sums)
+    ends = list(itertools.accumulate(sizes))
+    at = list(itertools.accumulate([0, *map(len, cut)]))
+    sums.runs = [sharding._Run(ends[at[p + 1] - 1], p, 0, len(cut[p])) for p in range(parts) if cut[p]]
+
+    def part_again(wanted):
+        sums.runs = [x for i, r in enumerate(sums.runs) for x in ([sharding._Run(ends[at[r.part] + b - 1], r.part, a, b) for a, b in ((r.first, (r.first + r.beyond) // 2), ((r.first + r.beyond) // 2, r.beyond))] if i in wanted else [r])]
+        sums.ends = [r.end for r in sums.runs]
+
+    sums.rows, sums.ends, sums.part_again = 4, [r.end for r in sums.runs], part_again
+    found = sums.cuts(max(sizes), shards)
+    best = next(c for c in itertools.count(max([*sizes, -(-sum(sizes) // shards)])) if needed(sizes, c) <= shards)
+    assert found[-1] == sum(sizes) and set(found) <= set(ends) and max(b - a for a, b in zip([0, *found], found)) == best
 
 
 @settings(max_examples=200, deadline=None)
