@@ -71,6 +71,17 @@ class Encoder:
             and not pre[1].get("use_regex")
             and not any(re.search(r"\s", x["content"]) or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in special)
         )
+        #: The text is split by a pattern that looks ahead alone: where a split begins, all later ones follow from the text behind it.
+        whole = spec.get("pre_tokenizer") or {}
+        parts = whole.get("pretokenizers", [whole])
+        patterns = [x.get("pattern", {}).get("Regex") for x in parts if x.get("type") == "Split"]
+        self.looks_ahead = (
+            (spec.get("normalizer") or {"type": "NFC"}).get("type") in ("NFC", "NFD")
+            and {x.get("type") for x in parts} <= {"Split", "ByteLevel"}
+            and (len(patterns) == 1 or (not patterns and parts[0].get("use_regex", True)))
+            and not parts[0].get("add_prefix_space")
+            and all(x and not re.search(r"\(\?<[=!]|\\[bBAGZ]|\^", re.sub(r"\[\^", "[", x)) for x in patterns)
+        )
         #: Words that hold a special string's first two characters go to the library.
         self.simple = re.compile(r"(?:(?!" + "|".join(sorted({re.escape(x["content"][:2]) for x in special}) or [r"(?!)"]) + r")[!-~À-ÖØ-öø-ÿ])+")
         self.cache = _Words(self._word)

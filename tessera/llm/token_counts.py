@@ -1,15 +1,28 @@
 """Token counts by overlap resynchronisation.
 
-A document longer than ``chunk_bytes`` is cut into windows that overlap by
-``overlap`` bytes on either side of each cut. The windows are dealt out and
-encoded with offsets. Two neighbours are spliced at a byte proven stable: a
-word behind white space, inside both windows, at which both encodings have a
-token edge and after which both give the same tokens. A document in which some
-cut has no such byte is cut again with twice the overlap, until its windows
-cover it. Shorter documents are encoded whole, each in its row's task.
-
-Nulls count as empty texts; an empty text has no tokens; repeated rows give
-repeated rows; null ids are kept; extra columns are dropped.
+A document of more than ``chunk_bytes`` is cut into windows that overlap by
+``overlap`` bytes on either side of each cut, each encoded with offsets. Two
+neighbours are spliced at a byte proven stable, where both encodings have an
+edge that what is before it cannot move, and after which both give the same
+tokens. A document in which some cut has no such byte is cut again with twice
+the overlap, until its windows cover it. Documents of up to ``deal_bytes`` are
+cut and spliced in their row's task; the windows of longer ones, of that size,
+are dealt out. Documents of up to ``chunk_bytes`` are encoded whole.
+
+Why a byte is stable: where the tokenizer drops white space, words are encoded
+one by one, and the byte is the start of a word behind white space. Other files
+split a text by a pattern that is matched from left to right and looks ahead
+alone. If a split begins at the byte in both windows, all later splits follow
+from the text behind it, which both have, and tokens never cross a split; the
+earlier ones are the left window's, whose own start was stable. The byte is
+ASCII, so that no normalisation joins it to the one before, and more tokens lie
+behind it, so that the window's end is out of the pattern's sight. Files whose
+pattern is of another kind have no stable bytes and are encoded whole.
+
+Nulls count as empty texts; an empty text has no tokens; a very long text is
+read whole, in windows; equal ids, repeated rows and null ids each have their
+row; an empty table gives no rows; extra columns are dropped, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -24,8 +37,9 @@ from pyspark.sql import functions as F
 from . import common
 from .encoder import default_path, encoder
 
-#: Documents of more bytes are cut; bytes on either side of a cut; tokens that must agree behind a splice.
-CHUNK_BYTES = 1 << 16
+#: Documents of more bytes are cut; of more bytes, dealt out; bytes on either side of a cut; tokens that must agree behind a splice.
+CHUNK_BYTES = 1 << 12
+DEAL_BYTES = 1 << 16
 OVERLAP = 256
 AGREE = 4
 _SPACE = np.zeros(256, np.bool_)
@@ -33,18 +47,24 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def encode_with_offsets(text: bytes, enc) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a window, and for each the byte at which its word or token starts."""
+    """Ids of a window, and for each the byte at which its word or split starts; -1 where no edge can be proven."""
     if not enc.by_word:
         whole = text.decode(errors="replace")
         got = enc.tk.encode(whole, add_special_tokens=False)
-        lead = np.cumsum([0] + [len(c.encode()) for c in whole])
-        return np.array(got.ids, np.int64), lead[np.array([o[0] for o in got.offsets], np.int64)]
+        lead = np.concatenate(([0], np.cumsum([len(c.encode()) for c in whole], dtype=np.int64)))
+        at = lead[np.array([o[0] for o in got.offsets], np.int64)]
+        splits = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+        first = (splits >= 0) & np.concatenate(([True], splits[1:] != splits[:-1]))[: len(splits)]
+        return np.array(got.ids, np.int64), np.where(first & enc.looks_ahead, at, -1)
     data = np.frombuffer(text, np.uint8)
     inside = ~_SPACE[data]
     starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
     packed = enc.words(text.split())
     lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // enc.dtype.itemsize
-    return np.frombuffer(b"".join(packed), enc.dtype).astype(np.int64), np.repeat(starts, lengths)
+    off = np.full(int(lengths.sum()), -1)
+    some = lengths > 0
+    off[(np.cumsum(lengths) - lengths)[some]] = starts[some]
+    return np.frombuffer(b"".join(packed), enc.dtype).astype(np.int64), off
 
 
 def _start(text: bytes, at: int) -> int:
@@ -66,14 +86,12 @@ def windows(text: bytes, chunk: int, overlap: int) -> Iterator[tuple[int, int, i
 def edges(window: bytes, first: int, cut: int, overlap: int, ids: np.ndarray, off: np.ndarray) -> dict[int, tuple[int, tuple]]:
     """Byte -> (tokens before it, the next tokens) for the stable bytes around a cut."""
     lo, hi = max(1, cut - overlap - first), min(len(window), cut + overlap - first)
-    if hi <= lo:
-        return {}
-    data = np.frombuffer(window, np.uint8)[lo - 1 : hi]
     out = {}
-    for p in np.flatnonzero(_SPACE[data[:-1]] & ~_SPACE[data[1:]]) + lo:
-        i = int(np.searchsorted(off, p))
-        if i + AGREE <= len(ids) and off[i] == p and off[i + AGREE - 1] < hi:
-            out[int(p) + first] = i, tuple(map(int, ids[i : i + AGREE]))
+    for i in np.flatnonzero((off >= lo) & (off < hi)).tolist():
+        p = int(off[i])
+        after = off[i + AGREE :]
+        if i + AGREE < len(ids) and window[p] < 0x80 and (len(ids) - i > 2 * AGREE or (after >= 0).any()):
+            out[p + first] = i, tuple(ids[i : i + AGREE].tolist())
     return out
 
 
@@ -85,13 +103,31 @@ def splice(left: dict, right: dict) -> tuple[int, int] | None:
     return None
 
 
-def _short(path: str):
+def count(text: bytes, enc, chunk: int, overlap: int) -> int:
+    """Tokens of one text, window by window; each cut is spliced, or all are made again with more overlap."""
+    while len(text) > chunk and overlap < len(text):
+        total, right = 0, None
+        for k, n, a, w in windows(text, chunk, overlap):
+            ids, off = encode_with_offsets(w, enc)
+            if k:
+                got = splice(right, edges(w, a, k * chunk, overlap, ids, off))
+                if got is None:
+                    break
+                total += got[0] - got[1]
+            if k + 1 < n:
+                right = edges(w, a, (k + 1) * chunk, overlap, ids, off)
+            else:
+                return total + len(ids)
+        overlap *= 2
+    return len(enc.packed(text)) // enc.dtype.itemsize
+
+
+def _short(path: str, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
             got = b.column("text").to_pylist()
-            n = [len(enc.packed(t)) // enc.dtype.itemsize for t in got]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": pa.array(map(len, got), pa.int64()), "n_tokens": pa.array(n, pa.int64())})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n_bytes": pa.array(map(len, got), pa.int64()), "n_tokens": pa.array([count(t, enc, chunk, overlap) for t in got], pa.int64())})
 
     return run
 
@@ -164,17 +200,17 @@ def _long(docs: DataFrame, path: str, chunk: int, overlap: int, scratch: common.
     return out
 
 
-def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes: int = CHUNK_BYTES, overlap: int = OVERLAP, limit: int = 2048) -> DataFrame:
+def count_tokens(docs: DataFrame, *, tokenizer: str | None = None, chunk_bytes: int = CHUNK_BYTES, deal_bytes: int = DEAL_BYTES, overlap: int = OVERLAP, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row (documents: doc_id, text)."""
     spark, path = docs.sparkSession, tokenizer or default_path()
     common.ship(spark)
     docs = common.texts(docs)
     size = F.octet_length("text")
-    out = docs.filter(size <= chunk_bytes).mapInArrow(_short(path), "doc_id long, n_bytes long, n_tokens long")
-    large = docs.filter(size > chunk_bytes)
+    out = docs.filter(size <= deal_bytes).mapInArrow(_short(path, chunk_bytes, overlap), "doc_id long, n_bytes long, n_tokens long")
+    large = docs.filter(size > deal_bytes)
     scratch = common.Scratch(spark, "token_counts")
     keys = scratch.write(large.select("doc_id", size.cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")), "keys")
     if keys.take(1):
         once = large.select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
-        out = out.unionByName(keys.join(_long(once, path, chunk_bytes, overlap, scratch), "key").select("doc_id", "n_bytes", "n_tokens"))
+        out = out.unionByName(keys.join(_long(once, path, deal_bytes, overlap, scratch), "key").select("doc_id", "n_bytes", "n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
