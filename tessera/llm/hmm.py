@@ -50,7 +50,7 @@ BUCKETS = 512
 TABLE = 200_000
 ROUNDS = 14
 #: Tokens of a piece of a long document; steps between two scalings of a product; tokens whose forward and backward numbers are held at once.
-PIECE = 2_048
+PIECE = 1_024
 RESCALE = 8
 BATCH = 1 << 18
 #: Training tokens of one task of a round at most, about. Each task returns a row for each class, so few large tasks shuffle least.
@@ -211,7 +211,7 @@ def _products(model: Model, pieces: list[np.ndarray], heads: np.ndarray) -> tupl
     """
     k, out, scales = len(model.start), np.empty((len(model.start),) * 2 + (len(pieces),)), np.empty(len(pieces))
     emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    for mine in _runs(np.array([len(x) for x in pieces]), BATCH // k):
+    for mine in _runs(np.array([len(x) for x in pieces], np.int64), 2 * BATCH):
         run = _Run([pieces[i] for i in mine])
         state, log = None, np.zeros(len(mine))
         for t, n in enumerate(run.active):
@@ -232,6 +232,17 @@ def _products(model: Model, pieces: list[np.ndarray], heads: np.ndarray) -> tupl
     return out, scales
 
 
+def _room(k: int, n: int) -> list[np.ndarray]:
+    """Three arrays (k x n), of memory that a process asks for once."""
+    flat = _kept.get(k)
+    if flat is None or flat.shape[1] < k * n:
+        flat = _kept[k] = np.empty((3, k * max(n, BATCH)))
+    return [x[: k * n].reshape(k, n) for x in flat]
+
+
+_kept: dict[int, np.ndarray] = {}
+
+
 def _cut(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Pieces of PIECE items at most, in order, the sequence of each, and which of them start one."""
     pieces = [x[i : i + PIECE] for x in sequences for i in range(0, len(x), PIECE)]
@@ -296,36 +307,43 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     for mine in _runs(np.array([len(x) for x in pieces], np.int64), BATCH):
         run = _Run([pieces[i] for i in mine])
-        edge, active, last = run.edge, run.active, after[:, mine]
-        weight = np.take(emit, run.items, axis=1)
-        alpha, scale = weight.copy(), np.empty(len(run.items))
-        for t, n in enumerate(active):
-            now = alpha[:, edge[t] : edge[t + 1]]
-            now *= np.where(heads[mine], model.start[:, None], move @ before[:, mine]) if t == 0 else move @ alpha[:, edge[t - 1] : edge[t - 1] + n]
-            total = now.sum(0)
-            now /= total
-            scale[edge[t] : edge[t + 1]] = total
-        weight /= scale
-        beta = np.empty_like(alpha)
-        later = 0  # sequences that go on behind the time step
+        edge, active, head = run.edge.tolist(), run.active.tolist(), heads[mine]
+        seen, alpha, beta = _room(k, len(run.items))
+        np.take(emit, run.items, axis=1, out=seen, mode="clip")
+        held, shrunk = np.empty((k, len(mine))), np.ones(len(run.items))
+        np.multiply(seen[:, : edge[1]], np.where(head, model.start[:, None], move @ before[:, mine]), out=alpha[:, : edge[1]])
+        for t in range(1, len(active)):
+            a, b, n, from_ = edge[t], edge[t + 1], active[t], edge[t - 1]
+            now = np.matmul(move, alpha[:, from_ : from_ + n], out=held[:, :n])
+            if t % RESCALE == 0:  # any scale does: what is counted is normalised at each item
+                by = 1 / now.sum(0)
+                now *= by
+                shrunk[a:b] = by
+            np.multiply(seen[:, a:b], now, out=alpha[:, a:b])
+        last, later = after[:, mine], 0  # later: sequences that go on behind the time step
         for t in range(len(active) - 1, -1, -1):
-            a, b = edge[t], edge[t + 1]
+            a, b, n = edge[t], edge[t + 1], active[t]
             if later:
-                np.matmul(model.move, weight[:, b : b + later], out=beta[:, a : a + later])
-            if later < active[t]:
-                ends = last[:, later : active[t]]
-                beta[:, a + later : b] = ends / (alpha[:, a + later : b] * ends).sum(0)
-            weight[:, a:b] *= beta[:, a:b]
-            later = active[t]
+                now = np.multiply(seen[:, b : b + later], beta[:, b : b + later], out=held[:, :later])
+                if t % RESCALE == 0:
+                    now /= now.sum(0)
+                np.matmul(model.move, now, out=beta[:, a : a + later])
+            if later < n:
+                beta[:, a + later : b] = last[:, later:n]
+            later = n
+        seen *= beta
         beta *= alpha
+        total = beta.sum(0)
+        beta /= total
         for j in range(k):
             emitted[j] += np.bincount(run.items, beta[j], c)
-        start += beta[:, : edge[1]][:, heads[mine]].sum(1)
-        inside = ~heads[mine]
-        moved += before[:, mine[inside]] @ weight[:, : edge[1]][:, inside].T
-        if len(active) > 1:
-            came = np.arange(edge[1], edge[-1]) - np.repeat(active[:-1], active[1:])
-            moved += np.take(alpha, came, axis=1) @ weight[:, edge[1] :].T
+        start += beta[:, : edge[1]][:, head].sum(1)
+        seen *= np.divide(shrunk, total, out=shrunk)
+        inside = ~head
+        if inside.any():
+            moved += before[:, mine[inside]] @ seen[:, : edge[1]][:, inside].T
+        for t in range(1, len(active)):
+            moved += alpha[:, edge[t - 1] : edge[t - 1] + active[t]] @ seen[:, edge[t] : edge[t + 1]].T
     return start, model.move * moved, emitted.T
 
 

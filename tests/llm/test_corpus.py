@@ -184,7 +184,7 @@ def plain_scores(rows, own, states, rounds):
     return [alphas(x)[1] + sum(map(rare, words)) for _, x, words in coded]
 
 
-@pytest.mark.parametrize("piece", [2_048, 7])
+@pytest.mark.parametrize("piece", [1_024, 7])
 def test_scores_are_those_of_a_plain_baum_welch(spark, tricky, monkeypatch, piece):
     rows = tricky_rows()
     want = sorted((d is not None, d or 0, round(s, 3), s) for (d, _), s in zip(rows, plain_scores(rows, 30, 2, 3)))
