@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,21 +20,40 @@ BROADCAST_ROWS = 200_000
 SEPARATORS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 
+#: Spark's setting that deletes the shuffle files of a query when it is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of one query."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on the executors, once for each application."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    place = os.path.join(tempfile.mkdtemp(), "tessera_llm_ship.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    place = os.path.join(folder, "tessera_llm_ship.zip")
     with zipfile.ZipFile(place, "w") as z:
-        for folder, _, names in os.walk(top):
+        for here, _, names in os.walk(top):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(here, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(top)))
     sc.addPyFile(place)
     _shipped.add(sc.applicationId)
@@ -82,9 +103,9 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """The table as a Parquet table; shuffle files that only its making needed may go at once."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle's files when its plan is collected
+        """The table as a Parquet table; shuffle files that only its making needed go at once."""
+        with _setting(self.spark, CLEANUP, "true"):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -1,42 +1,53 @@
-"""N-gram Jaccard join by prefix lists with a positional bound, and groups of near copies.
+"""N-gram Jaccard join by T-occurrence search, and groups of near copies.
 
 Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
 
 * Texts that are byte for byte equal to another are set aside; they join the
   group of the smallest id with that text.
-* A set of n shingles can only link with one that shares at least
-  T = ceil(0.75 n) of them. DivideSkip parts its n inverted lists: the T - 1
-  longest are only probed, the others (the prefix) are merged by a heap. Here
-  there is no heap: the short lists are the rows (shingle, id) of the prefixes,
-  brought together by one shuffle, as lists are spread over machines; a set
-  that links occurs in one of them at least.
+* A set of n shingles can only link with one that is in T = ceil(0.75 n) of its
+  n inverted lists at least. DivideSkip parts them: the T - 1 longest lists are
+  only probed, the others, the short ones, are merged.
 * The order that tells long lists from short ones: shingles that are frequent
   (counted in every partition, summed over all) come last, the most frequent
   at the end; all others in order of their hash, which costs no count. Any
   order gives whole results; this one keeps merged lists short.
-* Candidates are pairs within the length and the positional bound that are in as
-  many short lists as a link needs (T less the long lists, and more where both
-  prefixes say so); then the whole smaller set is searched in the other's sorted
-  shingles.
-* Lists are not turned into all their pairs. In each star round every list
-  links its members to one centre; found links join members to components, and
-  only pairs between components are left. When these are few, or a round no
-  longer lessens them, all of them are listed. No pair of different components
-  that could link is ever skipped.
+* Short lists lie spread over machines as rows (shingle, id); one shuffle brings
+  each together. A pair of a list within the length and the positional bound is
+  kept if it meets in as many short lists as a link needs (T less the long
+  lists, and more where both sets' short lists say so). Of the two sets one ends
+  its short lists first; up to there the merged count is the exact overlap, so
+  that set's long lists alone are probed, by binary search for the survivor's
+  entry, and the two numbers together are the overlap.
+* Lists of up to LONG members make all their pairs. In longer ones each star
+  round pairs the members with one centre; found links join members to
+  components, and only pairs between components are left. When these are few, or
+  a round no longer lessens them, the long lists that are still open become
+  cells: the sets of a list's members, dealt into blocks, go to one task for
+  each pair of blocks, which runs the whole T-occurrence search there and gives
+  back links alone. So rows grow with the lists' entries (times the blocks of a
+  list), never with their pairs. Lists of the same members are one cell.
 * That finds the components, not all links. As both ends of a link are in one
-  component, the links of each id are then counted there: its distinct texts
-  (ids of the same texts are one kind, with their number) are dealt into blocks,
-  and each pair of blocks is compared in full by one task. No pair is listed.
+  component, the links of each id are then counted there, block by block, by the
+  same search. No pair is listed; the work on a component grows with the square
+  of its distinct texts.
+
+In a task the lists are arrays: a few entries are merged by a heap, more are
+counted, which gives the same numbers; a long list is probed for each survivor
+where that is less than reading it.
 
 Words are compared by 64-bit hashes. Null and empty texts, and texts without
 words, have no shingles and link with nothing; texts of fewer than 5 words have
-one, the whole sequence. Rows that share a doc_id are one node. Null ids are
-nodes of their own. Extra columns are ignored.
+one, the whole sequence. A very long text is one set, held whole. Of equal
+distances between lists the smaller hash, of equal texts the smaller id goes
+first. Rows that share a doc_id are one node with all their texts. Null ids are
+nodes of their own. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +61,20 @@ from .wordhash import FOLDED, U, grams, groups
 WORDS = 5
 #: A link needs NUM / DEN of the union.
 NUM, DEN = 75, 100
-#: A list is long if its shingle is in so many documents, of which COUNTED in one run of rows.
+#: A list is long if its shingle is in more documents, of which COUNTED in one run of rows.
 LONG = 8
 COUNTED = 2
 #: Long lists in the order that is sent to the tasks; the shortest beyond stay in hash order.
 ORDERED = 200_000
-#: Pairs listed at once without a star round.
+#: Open pairs of long lists that are not worth a star round.
 PAIRS = 50_000
 #: A star round that leaves more than this share of the pairs is the last one.
 PROGRESS = 0.6
-#: Texts, and shingles, of a block of a component.
+#: DivideSkip's weight of a list's length against its number; entries that a heap merges; entries that cost as much as one probe.
+WEIGHT = 0.2
+HEAP = 24
+PROBE = 20
+#: Texts, and shingles, of a block of a component or a long list.
 BLOCK_TEXTS = 500
 BLOCK_SHINGLES = 1 << 20
 
@@ -162,46 +177,132 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": b.column("doc_id"), "shingles": pa.array(found, pa.binary())})
 
 
+def _parted(late: np.ndarray, rank: np.ndarray):
+    """Sets, and of each the shingles of its long lists, and the place in the order at which its short lists end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, long, level, end = [], [], [], []
+            for _, found in shingle_sets(b):
+                short = prefix(found, late, rank)
+                whole.append(found.tobytes())
+                long.append(np.setdiff1d(found, short, assume_unique=True).tobytes())
+                at = min(int(np.searchsorted(late, short[-1])), len(late) - 1) if len(late) and len(short) else -1
+                level.append(int(rank[at]) if at >= 0 and late[at] == short[-1] else 0)
+                end.append(int(short[-1]) if len(short) else 0)
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "shingles": pa.array(whole, pa.binary()), "long": pa.array(long, pa.binary()), "level": pa.array(level, pa.int64()), "end": _signed(np.array(end, U))})
+
+    return run
+
+
+_PARTED = "doc_id long, shingles binary, long binary, level long, end long"
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose sets reach the required overlap; the smaller set is probed in the larger."""
+    """Keeps the pairs that reach the required overlap: what their short lists have in common, and what probes of long lists add."""
     for b in batches:
+        x, y = ([np.frombuffer(v.as_buffer(), U) for v in b.column(c)] for c in ("x", "y"))
+        x_long, y_long = ([np.frombuffer(v.as_buffer(), U) for v in b.column(c)] for c in ("x_long", "y_long"))
+        x_end, y_end = (list(zip(b.column(f"{c}_level").to_pylist(), b.column(f"{c}_end").to_numpy().view(U).tolist())) for c in "xy")
         keep = []
-        for x, y in zip(b.column("x"), b.column("y"), strict=True):
-            small, large = sorted((np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)), key=len)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            keep.append(DEN * both >= NUM * (len(small) + len(large) - both))
+        for i, both in enumerate(b.column("both").to_pylist()):
+            size, first = len(x[i]) + len(y[i]), x_end[i] <= y_end[i]
+            long, other = (x_long[i], y[i]) if first else (y_long[i], x[i])
+            if (NUM + DEN) * (both + len(long)) >= NUM * size:
+                both += int((other[np.minimum(np.searchsorted(other, long), len(other) - 1)] == long).sum())
+            keep.append((NUM + DEN) * both >= NUM * size)
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+class Lists:
+    """Inverted lists over some sets: each list has the sets' numbers in ascending order."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        self.shingles, code = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.entries = np.repeat(np.arange(len(sets)), self.n)[order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(self.shingles)))))
+        self.keys = code[order] * len(sets) + self.entries  # ascending: what a probe searches
+
+    def reaching(self, query: np.ndarray, beyond: int = -1) -> np.ndarray:
+        """Numbers greater than ``beyond`` of the sets that link with the query, by DivideSkip."""
+        none, size = np.zeros(0, np.int64), len(query)
+        least = -(-NUM * size // DEN)
+        at = np.minimum(np.searchsorted(self.shingles, query), len(self.shingles) - 1)
+        at = at[self.shingles[at] == query]
+        length = self.start[at + 1] - self.start[at]
+        if beyond >= 0:
+            at, length = at[length > 1], length[length > 1]
+        if len(at) < least:
+            return none
+        order = np.argsort(length, kind="stable")
+        at, length = at[order], length[order]
+        longs = min(least - 1, int(least / (WEIGHT * np.log2(max(2, length[-1])) + 1)))
+        met = self._merged(at[: len(at) - longs], length[: len(at) - longs])
+        rest, rest_length = at[len(at) - longs :], length[len(at) - longs :]
+        fits = lambda x, more: (DEN * np.minimum(self.n[x], size) >= NUM * np.maximum(self.n[x], size)) & ((NUM + DEN) * (met[x] + more) >= NUM * (self.n[x] + size))
+        left = np.flatnonzero(met >= least - longs)
+        left = left[(left > beyond) & fits(left, longs)]
+        if longs and len(left):
+            if len(left) * longs * PROBE <= int(rest_length.sum()):
+                probes = (rest[:, None] * len(self.n) + left).ravel()
+                hit = self.keys[np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)] == probes
+                met[left] += hit.reshape(longs, -1).sum(0)
+            else:
+                met = met + self._merged(rest, rest_length)
+        return left[fits(left, 0)]
+
+    def _merged(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """In how many of some lists each set is."""
+        runs = [self.entries[a:b] for a, b in zip(self.start[at].tolist(), self.start[at + 1].tolist())]
+        if int(length.sum()) > HEAP:
+            return np.bincount(np.concatenate(runs), minlength=len(self.n))
+        met = np.zeros(len(self.n), np.int64)
+        for number, same in groupby(heapq.merge(*(r.tolist() for r in runs))):
+            met[number] = len(list(same))
+        return met
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
     """Places of all linked pairs of left and right, or of left alone."""
-    sets = left + (right or [])
-    sizes = np.array([len(x) for x in sets])
-    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = often[code] > 1  # a shingle of one set alone is in no intersection
-    where = np.concatenate(([0], np.cumsum(shared)))[np.concatenate(([0], np.cumsum(sizes)))]
-    code = code[shared]
-    mine = lambda i: code[where[i] : where[i + 1]]
-    order = np.argsort(sizes[len(left) :] if right else sizes, kind="stable") + (len(left) if right else 0)
-    n = sizes[order]
-    items = np.concatenate([mine(i) for i in order])
-    edge = np.concatenate(([0], np.cumsum(where[order + 1] - where[order])))
-    flag = np.zeros(len(often), np.bool_)
-    a, b = [], []
-    for at, i in enumerate(range(len(left)) if right else order):
-        low, high = np.searchsorted(n, -(-NUM * sizes[i] // DEN), "left"), np.searchsorted(n, DEN * sizes[i] // NUM, "right")
-        if not right:
-            low = max(low, at + 1)
-        if low >= high:
-            continue
-        flag[mine(i)] = True
-        both = np.diff(np.concatenate(([0], np.cumsum(flag[items[edge[low] : edge[high]]])))[edge[low : high + 1] - edge[low]])
-        flag[mine(i)] = False
-        found = order[low:high][DEN * both >= NUM * (sizes[i] + n[low:high] - both)]
-        a.append(np.full(len(found), i))
-        b.append(found - (len(left) if right else 0))
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if not left or right == []:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = Lists(left if right is None else right)
+    found = [lists.reaching(x, i if right is None else -1) for i, x in enumerate(left)]
+    return np.repeat(np.arange(len(left)), [len(x) for x in found]), np.concatenate(found)
+
+
+def _forest(a: list[int], b: list[int]) -> list[int]:
+    """Places of links (a, b) that join what those before them leave apart."""
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := over.get(x, x)) != x:
+            over[x] = x = over.get(y, y)
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(map(top, a), b)):
+        x, y = top(x), top(y)
+        if x != y:
+            over[x] = y
+            out.append(i)
+    return out
+
+
+def _open_cell(rows: pa.Table) -> pa.RecordBatch:
+    """a, b: links between the components of a cell's queries (asks) and its other members, as few as join them."""
+    ids, part = rows.column("doc_id").to_numpy(), rows.column("c").to_numpy()
+    asks = rows.column("asks").to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(x.as_buffer(), U) for x in rows.column("shingles")]
+    x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(x) or not len(y):
+        return pa.record_batch({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    a, b = linked([sets[i] for i in x], [sets[i] for i in y])
+    a, b = x[a], y[b]
+    some = np.array(_forest(part[a].tolist(), part[b].tolist()), np.int64)
+    return pa.record_batch({"a": pa.array(ids[a[some]]), "b": pa.array(ids[b[some]])})
 
 
 def _cell(rows: pa.Table) -> pa.RecordBatch:
@@ -227,23 +328,27 @@ def _cell(rows: pa.Table) -> pa.RecordBatch:
     return pa.record_batch({"unit": pa.array(units), "n": pa.array(n)})  # a row for each unit, not for each pair
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of every cell (component, i, j); the rows of a cell are together."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for b in batches:
-        keys = np.stack([b.column(x).to_numpy() for x in ("component", "i", "j")], 1)
-        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for start, stop in zip(cut, cut[1:]):
-            if start == stop:
-                continue
-            if held and now != tuple(keys[start]):
-                yield _cell(pa.Table.from_batches(held))
-                held = []
-            now = tuple(keys[start])
-            held.append(b.slice(start, stop - start))
-    if held:
-        yield _cell(pa.Table.from_batches(held))
+def _by_cell(keys: list[str], cell):
+    """cell(rows) of every cell; the rows of a cell, which have equal keys, are together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for b in batches:
+            found = np.stack([b.column(x).to_numpy() for x in keys], 1)
+            cut = [0, *(np.flatnonzero((found[1:] != found[:-1]).any(1)) + 1).tolist(), len(found)]
+            for start, stop in zip(cut, cut[1:]):
+                if start == stop:
+                    continue
+                if held and now != tuple(found[start]):
+                    yield cell(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(found[start])
+                held.append(b.slice(start, stop - start))
+        if held:
+            yield cell(pa.Table.from_batches(held))
+
+    return run
 
 
 def _overlap() -> Column:
@@ -257,7 +362,7 @@ def _could_link() -> Column:
 
 
 def _reaching(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, an, b, bn), once each, that are together in as many short lists as a link needs.
+    """The pairs (a, an, b, bn), once each, that are together in as many short lists as a link needs, and in how many.
 
     A link of sets with the required overlap T leaves at most an - T shingles
     of a out of b. Of the two prefixes one ends first in the order; its
@@ -268,76 +373,111 @@ def _reaching(pairs: DataFrame, own: DataFrame) -> DataFrame:
     listed = lambda n: F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1
     least = F.least(listed("an") - F.col("an"), listed("bn") - F.col("bn")) + _overlap()
     both = pairs.select("a", "an", "b", "bn").distinct().join(x, "a").join(y, "b")
-    return both.filter(F.size(F.array_intersect("a_lists", "b_lists")) >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = both.withColumn("both", F.size(F.array_intersect("a_lists", "b_lists"))).filter(F.col("both") >= least)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "both").distinct()
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_probe, "a long, b long")
+    side = lambda c, x: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(x), F.col("long").alias(f"{x}_long"), F.col("level").alias(f"{x}_level"), F.col("end").alias(f"{x}_end"))
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").mapInArrow(_probe, "a long, b long")
+
+
+def _side(x: str) -> list[Column]:
+    return [F.col("doc_id").alias(x), F.col("n").alias(f"{x}n"), F.col("place").alias(f"{x}p"), F.col("c").alias(f"{x}c")]
 
 
 def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Enough links (a, b) between distinct texts to have the components of all links, and the components themselves."""
     spark = docs.sparkSession
-    late = docs.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= LONG)
+    late = docs.mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > LONG)
     top = common.most_frequent(scratch.write(late, f"{name}_late"), "n", ORDERED).toArrow()
     values, counts = top.column("shingle").to_numpy().view(U), top.column("n").to_numpy()
     order = np.argsort(values)
-    listed = scratch.write(docs.mapInArrow(_prefixes(values[order], counts[order]), _PREFIX), f"{name}_listed")
-    shared = listed.groupBy("shingle").agg(F.count("*").alias("c")).filter("c > 1").select("shingle")
+    values, counts = values[order], counts[order]
+    listed = scratch.write(docs.mapInArrow(_prefixes(values, counts), _PREFIX), f"{name}_listed")
+    shared = listed.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
     lists = scratch.write(listed.join(shared, "shingle"), f"{name}_lists")
     own = scratch.write(lists.groupBy("doc_id").agg(F.collect_list("shingle").alias("lists")), f"{name}_own")
     scratch.drop(f"{name}_listed", f"{name}_late")
     links, found, round_, before = None, None, 0, None
-    now = lists.withColumn("c", F.col("doc_id"))
+    small, now = lists.filter(F.col("size") <= LONG).withColumn("c", F.col("doc_id")), lists.filter(F.col("size") > LONG).withColumn("c", F.col("doc_id"))
     while True:
         at = lambda x: f"{name}_{x}{round_}"  # noqa: B023, E731
-        by = now.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("size"))
+        by = now.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.max_by("c", F.struct("k", "c")).alias("main"))
         open_lists = scratch.write(by.filter("pairs > 0"), at("open"))
         left = open_lists.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
+        if round_ and not left:
             break
         last = left <= PAIRS or (before is not None and left > PROGRESS * before)
         before = left
-        still = scratch.write(now.join(open_lists.select("shingle", "size"), "shingle"), at("still"))
-        side = lambda x: [F.col("doc_id").alias(x), F.col("n").alias(f"{x}n"), F.col("place").alias(f"{x}p"), F.col("c").alias(f"{x}c")]
-        a = still.select(F.col("shingle").alias("list"), *side("a"))
-        if last:
-            pairs = a.join(still.select("shingle", *side("b")), (F.col("list") == F.col("shingle")) & (F.col("a") < F.col("b")) & _could_link())
-        else:
+        still = scratch.write(now.join(open_lists.select("shingle", "main"), "shingle"), at("still"))
+        if last and round_:
+            links = links.unionByName(_cells(docs, still, scratch, at))
+            found = components(links, scratch, at("components"))
+            found = scratch.write(found, at("found"))
+            break
+        pairs = None
+        if left:
             if round_:
                 turn, ranked = F.xxhash64(F.lit(round_), "doc_id"), still
             else:  # the member that meets most others, as the original of edited copies does
                 met = still.groupBy("doc_id").agg(F.sum("size").alias("met")).withColumnRenamed("doc_id", "member")
                 turn, ranked = -F.col("met"), still.join(met, F.col("doc_id") == F.col("member"))
-            centre = ranked.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), *side("b"))).alias("m")).select("shingle", "m.*").drop("t")
-            pairs = a.join(scratch.write(centre, at("centre")), (F.col("list") == F.col("shingle")) & _could_link())
-        pairs = _reaching(pairs, own)
-        pairs = scratch.write(pairs, at("pairs"))
+            centre = ranked.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), *_side("b"))).alias("m")).select("shingle", "m.*").drop("t")
+            pairs = still.select(F.col("shingle").alias("list"), *_side("a")).join(scratch.write(centre, at("centre")), (F.col("list") == F.col("shingle")) & _could_link())
+        if not round_:  # lists of a few members: all pairs
+            few = small.select(F.col("shingle").alias("list"), *_side("a")).join(small.select("shingle", *_side("b")), (F.col("list") == F.col("shingle")) & (F.col("a") < F.col("b")) & _could_link())
+            pairs = few if pairs is None else few.unionByName(pairs)
+        pairs = scratch.write(_reaching(pairs, own), at("pairs"))
         scratch.drop(at("now"), at("open"), at("centre"))
         members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         members = scratch.write(members, at("members"))
-        sets = scratch.write(common.within(docs, members, members.count()).mapInArrow(_sets, "doc_id long, shingles binary"), at("sets"))
+        sets = scratch.write(common.within(docs, members, members.count()).mapInArrow(_parted(values, counts), _PARTED), at("sets"))
         new = scratch.write(_links(pairs, sets), at("links"))
         scratch.drop(at("sets"), at("pairs"))
         links = new if links is None else links.unionByName(new)
         found = scratch.write(components(links, scratch, at("components")), at("found"))
         round_ += 1
-        if last:
+        if not left:
             break
-        now = still.drop("c", "size").join(found.select(F.col("node").alias("member"), "component"), F.col("doc_id") == F.col("member"), "left")
-        now = scratch.write(now.select("shingle", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c")), at("now"))
+        now = still.drop("c", "main").join(found.select(F.col("node").alias("member"), "component"), F.col("doc_id") == F.col("member"), "left")
+        now = scratch.write(now.select("shingle", "doc_id", "n", "place", "size", F.coalesce("component", "doc_id").alias("c")), at("now"))
     scratch.drop(f"{name}_lists")
-    if found is None:
-        found = spark.createDataFrame([], "node long, component long")
-        links = spark.createDataFrame([], "a long, b long")
     return links, found
 
 
+def _cells(docs: DataFrame, still: DataFrame, scratch: common.Scratch, at) -> DataFrame:
+    """Links (a, b) that join what the open lists' members can still join: of each list the members outside its
+    largest component ask all its members."""
+    spark = docs.sparkSession
+    alike = still.groupBy("shingle").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"))
+    once = alike.groupBy("k", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
+    mine = scratch.write(still.join(once, "shingle").select("shingle", "doc_id", "c", "main", "n"), at("asked"))
+    members = scratch.write(mine.select("doc_id").distinct(), at("asking"))
+    sets = scratch.write(common.within(docs, members, members.count()).mapInArrow(_sets, "doc_id long, shingles binary"), at("asked_sets"))
+    asks = F.col("c") != F.col("main")
+    blocks = lambda which: F.greatest(F.lit(1), F.ceil(F.greatest(F.count(F.when(which, 1)) / BLOCK_TEXTS, F.sum(F.when(which, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)))
+    large = scratch.write(mine.groupBy("shingle").agg(blocks(asks).alias("rows"), blocks(F.lit(True)).alias("columns")).filter("columns > 1"), at("large"))
+    n = large.count()
+    dealt = mine.join(F.broadcast(large) if n <= common.BROADCAST_ROWS else large, "shingle", "left").fillna(1, ["rows", "columns"])
+    place = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    asked = dealt.select("shingle", place("columns").alias("j"), every("rows").alias("i"), "doc_id", "c", F.lit(False).alias("asks"))
+    asking = dealt.filter(asks).select("shingle", every("columns").alias("j"), place("rows").alias("i"), "doc_id", "c", F.lit(True).alias("asks"))
+    cells = asked.unionByName(asking).join(sets, "doc_id").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    out = scratch.write(cells.mapInArrow(_by_cell(["shingle", "i", "j"], _open_cell), "a long, b long"), at("cells"))
+    scratch.drop(at("asked"), at("asking"), at("asked_sets"), at("large"))
+    return out
+
+
 def _all_components(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """node, component of every id that is in a group of two or more, and the keys of all rows; docs: as texts() has them."""
     keys, copies, n_copies = common.exact_copies(docs, scratch)
+    texts = keys.filter("has_word and doc_id is not null")
+    several = scratch.write(texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("x"), F.max("digest").alias("y")).filter("n > 1").select("doc_id", (F.col("x") != F.col("y")).alias("more")), "several")
+    n_several = several.count()
+    if n_several:
+        return _of_several(docs, texts, several, n_several, scratch), keys
     _, found = _search(common.without(docs.filter("doc_id is not null"), copies.select("doc_id"), n_copies), scratch, "near")
     if not n_copies:
         return found, keys
@@ -347,6 +487,22 @@ def _all_components(docs: DataFrame, scratch: common.Scratch) -> tuple[DataFrame
     return scratch.write(found.unionByName(reps).unionByName(twins.select(F.col("doc_id").alias("node"), with_twins.alias("component"))), "grouped"), keys
 
 
+def _of_several(docs: DataFrame, texts: DataFrame, several: DataFrame, n_several: int, scratch: common.Scratch) -> DataFrame:
+    """node, component where ids have several rows: the search is over texts, each once; the ids of a text, as the texts (more) of an id, are linked."""
+    marked = texts.distinct().join(F.broadcast(several) if n_several <= common.BROADCAST_ROWS else several, "doc_id", "left")
+    own = F.xxhash64(F.lit("text"), "digest")  # stands for a text whose smallest id has others, too
+    nodes = marked.groupBy("digest").agg(F.min_by(F.struct("doc_id", "more"), "doc_id").alias("first"))
+    nodes = scratch.write(nodes.select("digest", F.col("first.doc_id").alias("rep"), F.when(F.coalesce("first.more", F.lit(False)), own).otherwise(F.col("first.doc_id")).alias("as_node")), "text_nodes")
+    keyed = docs.filter("doc_id is not null").withColumn("digest", F.sha2("text", 256)).join(nodes, "digest").filter("doc_id = rep")
+    once = keyed.groupBy("as_node").agg(F.first("text").alias("text")).withColumnRenamed("as_node", "doc_id")
+    links, _ = _search(scratch.write(once, "once"), scratch, "near")
+    ties = scratch.write(texts.distinct().join(nodes, "digest").select(F.col("doc_id").alias("a"), F.col("as_node").alias("b")), "ties")
+    found = components(links.unionByName(ties), scratch, "joined")
+    real = texts.select(F.col("doc_id").alias("node")).distinct().join(found, "node")
+    least = real.groupBy("component").agg(F.min("node").alias("least"))
+    return scratch.write(real.join(least, "component").select("node", F.col("least").alias("component")), "grouped")
+
+
 def _link_counts(docs: DataFrame, found: DataFrame, keys: DataFrame, scratch: common.Scratch) -> DataFrame:
     """node, component, n_links of every id in found: with how many other ids it has a linked or an equal text."""
     mine = keys.filter("has_word and doc_id is not null").join(found, F.col("doc_id") == F.col("node"))
@@ -363,7 +519,7 @@ def _link_counts(docs: DataFrame, found: DataFrame, keys: DataFrame, scratch: co
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("unit"), "blocks")).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = dealt.select("component", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).alias("other"), "unit", "weight", "shingles")
     cells = cells.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    linked_to = scratch.write(cells.mapInArrow(_cells, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")), "linked")
+    linked_to = scratch.write(cells.mapInArrow(_by_cell(["component", "i", "j"], _cell), "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")), "linked")
     scratch.drop("unit_sets", "units")
     counts = scratch.write(kinds.join(linked_to, "unit", "left").select("component", "kind", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")), "kind_links")
     return scratch.write(nodes.join(counts, ["component", "kind"]).select("node", "component", "n_links"), "node_links")
@@ -389,12 +545,22 @@ def linked_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the smallest id of their group, with the columns of docs."""
+    """One row of each group: that of its smallest id, once if it is repeated; a null id has no near copies, but goes if its text has an id. With the columns of docs."""
     common.ship(docs.sparkSession)
     scratch = common.Scratch(docs.sparkSession, "jaccard")
-    found, _ = _all_components(common.texts(docs), scratch)
+    found, keys = _all_components(common.texts(docs), scratch)
     gone = scratch.write(found.filter("node != component").select(F.col("node").alias("_gone")), "gone")
     n = gone.count()
+    again = keys.filter("has_word").groupBy("digest").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("digest").alias("_same"), "_rep")
+    again = scratch.write(again, "again")
+    n_again = again.count()
     mine = common.carried(docs)
-    kept = mine.join(F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone, mine["_row"].getField("doc_id").cast("long") == gone["_gone"], "left_anti")
+    id_, text = mine["_row"].getField("doc_id").cast("long"), F.coalesce(mine["_row"].getField("text").cast("string"), F.lit(""))
+    kept = mine.join(F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone, id_ == gone["_gone"], "left_anti")
+    if n_again:
+        kept = kept.withColumn("_digest", F.sha2(text, 256))
+        kept = kept.join(F.broadcast(again) if n_again <= common.BROADCAST_ROWS // 4 else again, F.col("_digest") == F.col("_same"), "left")
+        kept = kept.filter(F.col("_same").isNull() | id_.eqNullSafe(F.col("_rep")))
+        first = kept.filter("_same is not null").groupBy("_same").agg(F.first("_row").alias("_row"))
+        kept = kept.filter("_same is null").select("_row").unionByName(first.select("_row"))
     return common.unpacked(kept, docs.columns)

@@ -55,13 +55,68 @@ def test_groups_of_documents(documents, pairs):
     check(documents, pairs)
 
 
-@pytest.mark.parametrize("pairs_at_once, long", [(0, 3), (10**9, 10**9)])
-def test_star_rounds_and_order_lose_no_link(spark, tricky, monkeypatch, pairs_at_once, long):
+@pytest.mark.parametrize("pairs_at_once, progress, long, block", [(0, 0.6, 3, 500), (10**9, 0.6, 10**9, 500), (0, -1, 2, 500), (0, -1, 1, 2)])
+def test_rounds_cells_and_order_lose_no_link(spark, tricky, monkeypatch, pairs_at_once, progress, long, block):
     monkeypatch.setattr(jaccard, "PAIRS", pairs_at_once)
+    monkeypatch.setattr(jaccard, "PROGRESS", progress)
     monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", block)
     check(tricky, tricky_rows())
 
 
+def boilerplate(n: int) -> list[tuple]:
+    """Documents of 8 out of 40 sentences, hardly any of which link."""
+    import random
+
+    rng = random.Random(n)
+    sentences = [" ".join(f"w{i}x{j}" for j in range(10)) for i in range(40)]
+    return [(d, " ".join(rng.sample(sentences, 8))) for d in range(n)]
+
+
+def test_rows_grow_with_boilerplate_not_with_its_pairs(spark, monkeypatch):
+    made, plain = Counter(), Scratch.write
+
+    def spied(self, df, name):
+        out = plain(self, df, name)
+        if any(x in name for x in ("pairs", "asked", "cells", "links")):
+            made[len(rows)] += out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", spied)
+    for n in (4000, 8000):
+        rows = boilerplate(n)
+        jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).write.format("noop").mode("overwrite").save()
+    assert made[8000] < 2.6 * made[4000], made
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([(24, 20), (0, 0), (10**9, 10**9), (0, 10**9)]))
+def test_t_occurrence_search_finds_all_links(seed, costs):
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(60, rng.integers(1, 30), replace=False) for _ in range(4)]
+    make = lambda k: [np.unique(np.where(rng.random(len(x)) < 0.93, x, rng.integers(0, 99, len(x)))).astype(np.uint64) for x in (base[i] for i in rng.integers(0, 4, k))]
+    left, right = make(rng.integers(1, 15)), make(rng.integers(1, 15))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(jaccard, "HEAP", costs[0])
+        m.setattr(jaccard, "PROBE", costs[1])
+        for other in (None, right):
+            a, b = jaccard.linked(left, other)
+            want = {(i, j) for i, x in enumerate(map(set, left)) for j, y in enumerate(map(set, other or left)) if (other or j > i) and 100 * len(x & y) >= 75 * len(x | y)}
+            assert sorted(zip(a.tolist(), b.tolist())) == sorted(want)
+
+
+def test_ids_of_several_texts_lose_no_link(spark):
+    """An id with a copy of a smaller id's text and a text of its own that others link with; an id that joins two groups; repeated rows."""
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k, at: " ".join(f"{k}{w}" if i != at else "x" for i, w in enumerate(words))
+    rows = [(1, text("a", 99)), (2, text("a", 99)), (2, text("b", 99)), (3, text("b", 7)), (4, text("c", 5)), (5, text("d", 5)), (6, text("c", 5)), (6, text("d", 5)), (7, text("d", 6))]
+    rows += [(8, text("e", 1))] * 40 + [(9, text("e", 2)), (None, text("e", 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check(df, rows)
+    check_links(df, rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in jaccard.keep_one(df).collect()) == [(True, 1), (True, 4), (True, 8)]
+
+
 def check_links(df, rows):
     nodes, least = {}, grouped(rows)
     for d, t in rows:
@@ -103,7 +158,9 @@ def test_keep_one(tricky):
     least = grouped(tricky_rows())
     kept = jaccard.keep_one(tricky)
     assert kept.columns == tricky.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == sorted(d for d, _ in tricky_rows() if d is not None and least[d] == d)
+    texts = {t for d, t in tricky_rows() if d is not None}
+    want = Counter((d, t) for d, t in tricky_rows() if (d is None and t not in texts) or (d is not None and least[d] == d))
+    assert Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()) == Counter({(d, t): 1 if WORD.search(t or "") else n for (d, t), n in want.items()} | {(None, None): 1})
 
 
 @settings(max_examples=200, deadline=None)
