@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Keys = list[tuple[str, str]]
+#: Keys that a look-up join sends to the inner table's scan.
+LOOKUPS = 1_000
 
 
 def _on(left: DataFrame, right: DataFrame, keys: Keys) -> Column:
@@ -30,8 +32,8 @@ def sort_merge_join(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
 
 
 def block_nested_loop_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """Any condition: every pair is tried. Spark keeps to an equality if the condition has one."""
-    return left.join(right, condition)
+    """Any condition: every pair is tried, partition of the left side by partition of the right one, none of which must fit anywhere whole."""
+    return left.hint("shuffle_replicate_nl").join(right, condition)
 
 
 def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -39,16 +41,22 @@ def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """Any condition. Spark joins by what equalities it has, else broadcasts a side that is measured to be small, else tries every pair."""
     return left.join(right, condition)
 
 
 def index_lookup_join(outer: DataFrame, inner: DataFrame, keys: Keys) -> DataFrame:
-    """Looks up each outer row's key in the inner table. Spark has no index: a hash table by key takes its place."""
+    """Looks up the outer rows' keys in the inner table. Up to LOOKUPS keys are sent to its scan, which skips files and
+    row groups by their bounds (a stored table is sorted by its key); more keys are an equi-join."""
+    first, column = keys[0]
+    wanted = outer.select(first).distinct().limit(LOOKUPS + 1).collect()
+    if len(wanted) <= LOOKUPS:
+        inner = inner.filter(inner[column].isin([r[0] for r in wanted if r[0] is not None]))
     return outer.join(inner, _on(outer, inner, keys))
 
 
 def natural_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Equates the columns of equal names and keeps one copy of each."""
+    """Equates the columns of equal names and keeps one copy of each; without any, it is every pair, as in SQL."""
     common = [c for c in left.columns if c in right.columns]
     return left.join(right, common) if common else left.crossJoin(right)
 

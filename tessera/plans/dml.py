@@ -1,8 +1,8 @@
 """INSERT, DELETE and UPDATE as an ordered log over immutable tables.
 
 A statement acts on the rows that were there before it: a DELETE takes earlier
-inserts but not later ones. Reading a table replays its log as one DataFrame
-plan; inserts in a row become one local relation.
+inserts but not later ones. Each DELETE and UPDATE is one more step of a
+DataFrame plan; inserts in a row become one local relation.
 """
 
 from __future__ import annotations
@@ -67,17 +67,22 @@ def _where(text: str) -> tuple[str, str | None]:
     return text, None
 
 
-def insert(df: DataFrame, columns: tuple[str, ...], values: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """df and the given rows, as SQL literals; columns that are not named are null."""
-    columns = columns or tuple(df.columns)
-    if any(len(v) != len(columns) for v in values):
+def check_insert(df: DataFrame, change: Insert) -> None:
+    columns = change.columns or tuple(df.columns)
+    if any(len(v) != len(columns) for v in change.values):
         raise ValueError("as many values as columns are needed")
-    given = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(v) + ')' for v in values)}").toDF(*columns)
-    place = {c.lower(): c for c in columns}
-    if unknown := place.keys() - {c.lower() for c in df.columns}:
+    if unknown := {c.lower() for c in columns} - {c.lower() for c in df.columns}:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
-    row = [(F.col(place[f.name.lower()]) if f.name.lower() in place else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema]
-    return df.unionByName(given.select(*row))
+
+
+def inserted(df: DataFrame, changes: list[Insert]) -> DataFrame:
+    """The rows of some INSERTs, given as SQL literals, with the columns of df; those that are not named are null."""
+    rows = []
+    for change in changes:
+        place = {c.lower(): i for i, c in enumerate(change.columns or df.columns)}
+        rows += ["(" + ", ".join(v[place[c.lower()]] if c.lower() in place else "NULL" for c in df.columns) + ")" for v in change.values]
+    given = df.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)}").toDF(*df.columns)
+    return given.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema))
 
 
 def delete(df: DataFrame, table: str, condition: str | None) -> DataFrame:
@@ -94,19 +99,5 @@ def update(df: DataFrame, table: str, sets: tuple[tuple[str, str], ...], conditi
     return df.alias(table).select(*((F.when(hit, F.expr(new[f.name.lower()])).otherwise(F.col(f.name)).cast(f.dataType) if f.name.lower() in new else F.col(f.name)).alias(f.name) for f in df.schema))
 
 
-def replay(base: DataFrame, log: list[Change]) -> DataFrame:
-    df, at = base, 0
-    while at < len(log):
-        change = log[at]
-        at += 1
-        if isinstance(change, Insert):
-            values = list(change.values)
-            while at < len(log) and isinstance(log[at], Insert) and log[at].columns == change.columns:
-                values += log[at].values
-                at += 1
-            df = insert(df, change.columns, tuple(values))
-        elif isinstance(change, Delete):
-            df = delete(df, change.table, change.condition)
-        else:
-            df = update(df, change.table, change.sets, change.condition)
-    return df
+def step(df: DataFrame, change: Delete | Update) -> DataFrame:
+    return delete(df, change.table, change.condition) if isinstance(change, Delete) else update(df, change.table, change.sets, change.condition)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +17,9 @@ from . import operators as op
 from .functions import aggregate, scalar
 from .functions.scalars import wide
 from .operators.joins import self_join
-from .plans import dml
 from .plans.statements import spark_select
-from .plans.views import Conjunct, ViewCatalog
+from .session import Engine
+from .sources.delimited import lines, write_delimited
 
 Query = Callable[["Tables"], DataFrame]
 QUERIES: dict[str, tuple[Query, str]] = {}
@@ -213,7 +213,11 @@ def _strategy(name: str, join: Callable[[DataFrame, DataFrame, list], DataFrame]
 
 _strategy("hash_join", op.hash_join)
 _strategy("sort_merge_join", op.sort_merge_join)
-_strategy("index_lookup_join", lambda a, b, keys: op.index_lookup_join(b, a, [(y, x) for x, y in keys]))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 77")
+def index_lookup_join(t):
+    return op.index_lookup_join(op.select(t.orders, c("o_custkey") == 77), t.lineitem, [("o_orderkey", "l_orderkey")]).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
 @query("SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a, nation b WHERE a.n_nationkey + b.n_nationkey > 30")
@@ -276,33 +280,18 @@ def group_by_derived(t):
 # ---- order, limit, unions, derived tables
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderstatus ASC, o_custkey DESC, o_orderkey LIMIT 50")
-def order_by_asc_desc(t):
-    return op.limit(op.order_by(t.orders, c("o_orderstatus").asc(), c("o_custkey").desc(), "o_orderkey"), 50).select("o_orderkey", "o_custkey", "o_orderstatus")
-
-
-@query("SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
-def order_by_unselected(t):
-    return op.limit(op.order_by(t.orders, c("o_totalprice").desc(), "o_orderkey"), 25).select("o_custkey")
-
-
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_partkey - l_suppkey DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 30")
-def order_by_expr(t):
-    return op.limit(op.order_by(t.lineitem, (wide("l_partkey") - wide("l_suppkey")).desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), 30).select("l_orderkey", "l_linenumber", "l_partkey")
-
-
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_orderstatus ASC, o_custkey DESC, o_orderkey")
-def order_by_asc_desc_whole(t):
+def order_by_asc_desc(t):
     return op.order_by(t.orders, c("o_orderstatus").asc(), c("o_custkey").desc(), "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey")
-def order_by_unselected_whole(t):
+def order_by_unselected(t):
     return op.order_by(t.orders, c("o_totalprice").desc(), "o_orderkey").select("o_custkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ORDER BY l_partkey - l_suppkey DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice")
-def order_by_expr_whole(t):
+def order_by_expr(t):
     return op.order_by(t.lineitem, (wide("l_partkey") - wide("l_suppkey")).desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -353,9 +342,9 @@ def derived_table(t):
 _NESTED = """
 SELECT a_name, b_name FROM (
   SELECT a.c_name AS a_name, b.c_name AS b_name, a.c_acctbal AS a_bal, b.c_acctbal AS b_bal
-  FROM (SELECT c_custkey, c_name, c_acctbal FROM {customer} ORDER BY c_custkey LIMIT 100) a,
-       (SELECT c_custkey, c_name, c_acctbal FROM {customer} ORDER BY c_custkey LIMIT 100) b
-  WHERE a.c_custkey <> b.c_custkey) sub
+  FROM (SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM {customer}) a,
+       (SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM {customer}) b
+  WHERE a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey) sub
 WHERE a_bal < b_bal AND a_name > b_name
 """
 
@@ -365,95 +354,208 @@ def nested_derived(t):
     return t.sql(_NESTED, "customer")
 
 
-_NESTED_WHOLE = """
-SELECT a_name, b_name FROM (
-  SELECT a.c_name AS a_name, b.c_name AS b_name, a.c_acctbal AS a_bal, b.c_acctbal AS b_bal
-  FROM (SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM {customer}) a,
-       (SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM {customer}) b
-  WHERE a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey) sub
-WHERE a_bal < b_bal AND a_name > b_name
-"""
+_SUBJOIN = "SELECT s_suppkey, r_name FROM ({nation} JOIN {region} ON n_regionkey = r_regionkey) JOIN {supplier} ON s_nationkey = n_nationkey"
+
+
+@query(_SUBJOIN.replace("{", "").replace("}", ""))
+def join_in_brackets(t):
+    return t.sql(_SUBJOIN, "nation", "region", "supplier")
+
+
+_DIVIDE = "SELECT o_orderkey, o_custkey / 4 AS part, round(o_totalprice / (1 + o_custkey), 6) AS share FROM {orders}"
+
+
+@query(_DIVIDE.replace("{", "").replace("}", ""))
+def divide(t):
+    return t.sql(_DIVIDE, "orders")
+
+
+# ---- kept results, files, stores
 
 
-@query(_NESTED_WHOLE.replace("{", "").replace("}", ""))
-def nested_derived_whole(t):
-    return t.sql(_NESTED_WHOLE, "customer")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000")
+def cache_memory(t):
+    return op.cached(op.select(t.orders, c("o_totalprice") > 100000).select("o_orderkey", "o_custkey"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000")
+def cache_disk(t):
+    return op.on_disk(op.select(t.orders, c("o_totalprice") > 100000).select("o_orderkey", "o_custkey"))
+
+
+@query("SELECT n_nationkey || '|' || n_name || '|' || n_regionkey AS value FROM nation")
+def result_lines(t):
+    return lines(t.nation.select("n_nationkey", "n_name", "n_regionkey"))
+
+
+_SUPPLIER = "CREATE TABLE supplier (s_suppkey int, s_name varchar(25), s_nationkey int, s_acctbal decimal, PRIMARY KEY (s_suppkey), INDEX (s_nationkey))"
+
+
+def _ingested(t: Tables, stored: bool) -> Engine:
+    """An engine that read suppliers from a delimited file."""
+    folder = _folder(t.spark, "files")
+    write_delimited(t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), f"{folder}/supplier.csv")
+    engine = Engine(t.spark, folder, f"{folder}/store" if stored else None)
+    engine.sql(_SUPPLIER)
+    return engine
+
+
+_RICH = "SELECT s_suppkey, s_name, s_nationkey + 0 AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0"
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def ingest_delimited(t):
+    return _ingested(t, stored=False).sql(_RICH)
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def store_and_load(t):
+    later = Engine(t.spark, "nowhere", _ingested(t, stored=True).stored)
+    later.load()
+    return later.sql(_RICH)
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name FROM supplier WHERE s_suppkey = 7")
+def primary_key_lookup(t):
+    return _ingested(t, stored=True).sql("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey = 7")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(s_suppkey) AS VARCHAR) AS least, CAST(max(s_suppkey) AS VARCHAR) AS most FROM supplier")
+def saved_statistics(t):
+    later = Engine(t.spark, "nowhere", _ingested(t, stored=True).stored)
+    later.load()
+    known = later.catalog.tables["SUPPLIER"]
+    return t.spark.createDataFrame([(known.rows, *known.bounds["s_suppkey"])], "n long, least string, most string")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS v FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def sort_group_by(t):
+    return _engine(t, "lineitem", in_memory=False).sql("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_linenumber) AS v FROM lineitem GROUP BY l_returnflag, l_linestatus")
 
 
 # ---- changes
 
 
+def _engine(t: Tables, *names: str, stored: str | None = None, in_memory: bool = True) -> Engine:
+    """An engine that has some of the tables."""
+    engine = Engine(t.spark, "nowhere", stored, in_memory)
+    own = Tables(engine.spark, t.folder)
+    for name in names:
+        engine.catalog.add_frame(name, getattr(own, name))
+    return engine
+
+
+def _changed(t: Tables, name: str, *statements: str) -> DataFrame:
+    """A table after some statements, with its own types."""
+    engine = _engine(t, name)
+    for s in statements:
+        engine.sql(s)
+    return engine.catalog.table(name).select(*(c(f.name).cast(f.dataType) for f in getattr(t, name).schema))
+
+
 @query("SELECT * FROM region UNION ALL VALUES (90, 'ATLANTIS'), (91, 'MU')")
 def insert_delta(t):
-    return dml.replay(t.region, [dml.parse_change("INSERT INTO region(r_regionkey, r_name) VALUES (90, 'ATLANTIS')"), dml.parse_change("INSERT INTO region(r_regionkey, r_name) VALUES (91, 'MU')")])
+    return _changed(t, "region", "INSERT INTO region(r_regionkey, r_name) VALUES (90, 'ATLANTIS')", "INSERT INTO region(r_regionkey, r_name) VALUES (91, 'MU')")
 
 
 @query("SELECT * FROM nation WHERE NOT (n_regionkey = 1 OR n_name = 'CHINA')")
 def delete_filter(t):
-    return dml.replay(t.nation, [dml.parse_change("DELETE FROM nation WHERE n_regionkey = 1 OR nation.n_name = 'CHINA'")])
+    return _changed(t, "nation", "DELETE FROM nation WHERE n_regionkey = 1 OR nation.n_name = 'CHINA'")
 
 
 @query("SELECT * FROM (SELECT * FROM region UNION ALL VALUES (90, 'ATLANTIS')) x WHERE r_regionkey < 3")
 def insert_then_delete(t):
-    return dml.replay(t.region, [dml.parse_change("INSERT INTO region(r_name, r_regionkey) VALUES ('ATLANTIS', 90)"), dml.parse_change("DELETE FROM region WHERE r_regionkey >= 3")])
+    return _changed(t, "region", "INSERT INTO region(r_name, r_regionkey) VALUES ('ATLANTIS', 90)", "DELETE FROM region WHERE r_regionkey >= 3")
 
 
 @query("SELECT * FROM region WHERE r_regionkey < 3 UNION ALL VALUES (90, 'ATLANTIS')")
 def delete_then_insert(t):
-    return dml.replay(t.region, [dml.parse_change("DELETE FROM region WHERE r_regionkey >= 3"), dml.parse_change("INSERT INTO region(r_name, r_regionkey) VALUES ('ATLANTIS', 90)")])
+    return _changed(t, "region", "DELETE FROM region WHERE r_regionkey >= 3", "INSERT INTO region(r_regionkey, r_name) VALUES (90, 'ATLANTIS')")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN 'moved' ELSE s_name END AS s_name, CASE WHEN s_nationkey = 3 THEN s_nationkey + 1 ELSE s_nationkey END AS s_nationkey FROM supplier")
 def update_rows(t):
-    return dml.replay(t.supplier, [dml.parse_change("UPDATE supplier SET s_name = 'moved', s_nationkey = s_nationkey + 1 WHERE s_nationkey = 3")]).select("s_suppkey", "s_name", "s_nationkey")
+    return _changed(t, "supplier", "UPDATE supplier SET s_name = 'moved', s_nationkey = s_nationkey + 1 WHERE s_nationkey = 3").select("s_suppkey", "s_name", "s_nationkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT (CAST(o_orderkey AS BIGINT) * 1000000 + o_custkey > 5000000000)")
+def delete_by_wide_numbers(t):
+    return _changed(t, "orders", "DELETE FROM orders WHERE o_orderkey * 1000000 + o_custkey > 5000000000").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN CAST(o_custkey AS BIGINT) * 10000000 > 6000000000 THEN CAST(o_custkey AS BIGINT) * 10000000 ELSE o_custkey END AS o_custkey FROM orders")
+def update_to_wide_numbers(t):
+    engine = _engine(t, "orders")
+    engine.sql("UPDATE orders SET o_custkey = o_custkey * 10000000 WHERE o_custkey * 10000000 > 6000000000")
+    return engine.sql("SELECT o_orderkey, o_custkey FROM orders")
 
 
 # ---- views and key lookups
 
 
 _temporary: list[str] = []
+_folders: list[tuple[SparkSession, str]] = []
 
 
-def _view_folder(spark: SparkSession) -> str:
-    """A new folder for views: in the folder that all machines share, or, in a local session without one, a temporary one."""
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder: in the one that all machines share, or, in a local session without one, a temporary one."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if place is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder shared by all machines")
         place = tempfile.mkdtemp(prefix="tessera")
         _temporary.append(place)
-    return f"{place.rstrip('/')}/tessera/views-{uuid.uuid4().hex[:12]}"
+    out = f"{place.rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
+    _folders.append((spark, out))
+    return out
 
 
 @atexit.register
 def _remove() -> None:
+    for spark, place in _folders:
+        with contextlib.suppress(Exception):  # the JVM may be gone at exit
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     for place in _temporary:
-        with contextlib.suppress(OSError):
-            shutil.rmtree(place)
+        shutil.rmtree(place, ignore_errors=True)
 
 
-def _views(t: Tables, *conjuncts: Conjunct) -> ViewCatalog:
-    views = ViewCatalog(_view_folder(t.spark))
-    views.build(t.lineitem, "lineitem", "l_shipdate", tuple(conjuncts), ("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"))
-    return views
+_with_views: dict[tuple[str, str, str], Engine] = {}
 
 
-_RANGE = [Conjunct("l_shipdate", ">=", date(1996, 1, 1)), Conjunct("l_shipdate", "<", date(1997, 1, 1))]
+def _views(t: Tables, select: str) -> Engine:
+    """An engine with a view of a SELECT by the year of l_shipdate; the view is built once for each application and folder of tables."""
+    key = (t.spark.sparkContext.applicationId, t.folder, select)
+    if key not in _with_views:
+        engine = _engine(t, "lineitem", stored=_folder(t.spark, "views"))
+        engine.build_view(select, "l_shipdate")
+        _with_views[key] = engine
+    return _with_views[key]
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01'")
+_WHOLE = "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, l_shipdate FROM lineitem"
+_FEW = f"{_WHOLE} WHERE l_quantity < 25.0"
+_LINES = "CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity"
+
+
+@query(f"SELECT {_LINES} FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01'")
 def view_year_range(t):
-    return _views(t).read(t.lineitem, "lineitem", _RANGE, ["l_orderkey", "l_linenumber", "l_quantity"])
+    return _views(t, _WHOLE).sql("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01'")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_quantity < 10")
+@query(f"SELECT {_LINES} FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_quantity < 10")
 def view_residual(t):
-    return _views(t, Conjunct("l_quantity", "<", 25.0)).read(t.lineitem, "lineitem", [*_RANGE, Conjunct("l_quantity", "<", 10.0)], ["l_orderkey", "l_linenumber", "l_quantity"])
+    return _views(t, _FEW).sql("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_quantity < 10")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 30")
+@query(f"SELECT {_LINES} FROM lineitem WHERE l_quantity < 30")
 def view_no_match(t):
-    return _views(t, Conjunct("l_quantity", "<", 25.0)).read(t.lineitem, "lineitem", [Conjunct("l_quantity", "<", 30.0)], ["l_orderkey", "l_linenumber", "l_quantity"])
+    return _views(t, _FEW).sql("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 30")
+
+
+@query("SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount > 0.01 AND l_discount < 0.03 AND l_quantity < 25")
+def view_aggregate(t):
+    return _views(t, _FEW).sql(_Q6.replace("{", "").replace("}", ""))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")

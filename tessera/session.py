@@ -6,33 +6,37 @@ import sys
 from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .plans import dml
 from .plans.catalog import Catalog
 from .plans.statements import kind, spark_select, statements
-from .plans.views import ViewCatalog
+from .plans.views import View, ViewCatalog, needs, source
 from .sources import store
 from .sources.ddl import Table, parse_create
 from .sources.delimited import read_delimited, rows
 
 
 class Engine:
-    """CREATE TABLE reads <data>/<NAME>.csv (any case); with a store, as Parquet written there once.
+    """CREATE TABLE reads <data>/<NAME>.csv (any case); with a store, as Parquet written there once, and with a
+    view by year for each indexed date column (the first one, if none is), which SELECTs then use.
 
-    in_memory prefers hash joins; otherwise joins merge sorted runs.
+    The engine has a session of its own: its settings and table names touch no other. in_memory prefers hash joins;
+    otherwise joins merge sorted runs, and groups of sorted rows are formed without a hash table.
     """
 
     def __init__(self, spark: SparkSession, data: str = "data", stored: str | None = None, in_memory: bool = True):
-        self.spark, self.data, self.stored = spark, data.rstrip("/"), stored
-        self.catalog = Catalog(spark)
+        self.spark, self.data, self.stored = spark.newSession(), data.rstrip("/"), stored
+        self.catalog = Catalog(self.spark)
         self.views = ViewCatalog(f"{stored}/views") if stored else None
-        spark.conf.set("spark.sql.join.preferSortMergeJoin", str(not in_memory).lower())
+        self.spark.conf.set("spark.sql.join.preferSortMergeJoin", str(not in_memory).lower())
+        self.spark.conf.set("spark.sql.execution.replaceHashWithSortAgg", str(not in_memory).lower())
 
     def sql(self, statement: str) -> DataFrame | None:
         """Runs one statement; a SELECT's rows are returned, not computed yet."""
         what = kind(statement)
         if what == "SELECT":
-            return self.spark.sql(spark_select(statement.rstrip().rstrip(";")))
+            return self._select(spark_select(statement.rstrip().rstrip(";")))
         if what == "CREATE":
             self._create(parse_create(statement))
         elif what:
@@ -41,6 +45,32 @@ class Engine:
             raise ValueError("Invalid Query")
         return None
 
+    def _select(self, text: str) -> DataFrame:
+        """The rows of a SELECT, from views where they serve; a table that was changed is read itself."""
+        self.catalog.publish()
+        if self.views is None:
+            return self.spark.sql(text)
+        names = {t.name: key for key, t in self.catalog.tables.items() if not self.catalog.changed(key)}
+
+        def run(chosen: dict[str, DataFrame]) -> DataFrame:
+            for name, df in chosen.items():
+                df.createOrReplaceTempView(name)
+            try:
+                return self.spark.sql(text)  # names are resolved here
+            finally:
+                self.catalog.stale |= {names[name] for name in chosen}
+                self.catalog.publish()
+
+        return self.views.answer(run, {name: self.catalog.table(key) for name, key in names.items()})
+
+    def build_view(self, select: str, date: str) -> View:
+        """Keeps the columns and rows of a SELECT over one table, by the year of a date, for later SELECTs."""
+        self.catalog.publish()
+        df = self.spark.sql(select)
+        (need,) = needs(df)
+        (table,) = [t.name for key, t in self.catalog.tables.items() if source(self.catalog.table(key)) == need.path]
+        return self.views.build(self.catalog.table(table), table, date, need.conjuncts, tuple(df.columns))
+
     def script(self, text: str) -> list[DataFrame]:
         """The results of the SELECTs among some statements."""
         return [df for s in statements(text) if (df := self.sql(s)) is not None]
@@ -50,12 +80,17 @@ class Engine:
         return "" if df is None else df._jdf.queryExecution().toString()
 
     def load(self) -> list[str]:
-        """The tables that an earlier session stored."""
+        """The tables, and the views, that an earlier session stored."""
+        self.views.load(self.spark)
         return self.catalog.load(self.stored)
 
     def _create(self, table: Table) -> None:
         df = read_delimited(self.spark, self._file(table.name), table.schema)
         self.catalog.add(table, store.save(df, table, self.stored) if self.stored else df)
+        if self.stored:
+            dates = [f.name for f in table.schema if isinstance(f.dataType, T.DateType)]
+            for date in [d for d in dates if any(i[0] == d for i in table.indexes)] or dates[:1]:
+                self.views.build(self.catalog.table(table.name), table.name, date)
 
     def _file(self, name: str) -> str:
         """The table's file, found by Hadoop's file systems, whatever the case of its name."""

@@ -20,6 +20,9 @@ class Table:
     schema: T.StructType
     primary_key: list[str] = field(default_factory=list)
     indexes: list[list[str]] = field(default_factory=list)
+    #: Of a saved table: its rows, and the smallest and largest value of each column, as text.
+    rows: int | None = None
+    bounds: dict[str, list] = field(default_factory=dict)
 
 
 def split_outside(text: str, sep: str) -> list[str]:

@@ -12,11 +12,13 @@ from .ddl import Table
 
 
 def save(df: DataFrame, table: Table, folder: str) -> DataFrame:
-    """Writes a table sorted within files by its primary key or first index, so that row groups can be skipped by it."""
+    """Writes a table in ranges of its primary key or first index, each file sorted, so that a look-up opens the files of one range; rows and bounds are saved with it."""
     keys = table.primary_key or (table.indexes[0] if table.indexes else [])
-    (df.sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").parquet(f"{folder}/{table.name}")
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df).write.mode("overwrite").parquet(f"{folder}/{table.name}")
     spark = df.sparkSession
-    state = {"name": table.name, "schema": table.schema.jsonValue(), "primary_key": table.primary_key, "indexes": table.indexes}
+    found = statistics(load(spark, table, folder), *table.schema.names)
+    bounds = {c: [None if x is None else str(x) for x in v] for c, v in found.items() if c != "rows"}
+    state = {"name": table.name, "schema": table.schema.jsonValue(), "primary_key": table.primary_key, "indexes": table.indexes, "rows": found["rows"], "bounds": bounds}
     spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/_definitions/table={table.name}")
     return load(spark, table, folder)
 
@@ -28,7 +30,7 @@ def load(spark: SparkSession, table: Table, folder: str) -> DataFrame:
 def definitions(spark: SparkSession, folder: str) -> list[Table]:
     """The definitions of all saved tables."""
     found = [json.loads(r.value) for r in spark.read.text(f"{folder}/_definitions").select("value").collect()]
-    return [Table(x["name"], T.StructType.fromJson(x["schema"]), x["primary_key"], x["indexes"]) for x in found]
+    return [Table(x["name"], T.StructType.fromJson(x["schema"]), x["primary_key"], x["indexes"], x.get("rows"), x.get("bounds", {})) for x in found]
 
 
 def statistics(df: DataFrame, *columns: str) -> dict[str, object]:

@@ -8,7 +8,7 @@ from datetime import date
 import pytest
 
 from tessera import queries
-from tessera.plans.views import Conjunct, ViewCatalog, implies
+from tessera.plans.views import Conjunct, Need, ViewCatalog, implies, needs
 from tessera.streaming import append_to, appended
 
 FOLDER = "/root/testdata/sf0.001"
@@ -30,22 +30,26 @@ def test_implication_is_sound_and_complete_for_bounds():
     assert not implies(Conjunct("a", "<", 3), Conjunct("a", "<", "x"))
 
 
-def test_views_are_chosen_and_prune_years(spark, tmp_path):
+def test_views_are_chosen_by_what_a_plan_needs(spark, tmp_path):
     t = queries.Tables(spark, FOLDER)
     views = ViewCatalog(str(tmp_path))
     whole = views.build(t.lineitem, "lineitem", "l_shipdate")
     small = views.build(t.lineitem, "lineitem", "l_shipdate", (Conjunct("l_quantity", "<", 25.0),))
     assert whole.rows == t.lineitem.count() > small.rows
-    wanted = [Conjunct("l_shipdate", ">=", date(1996, 1, 1)), Conjunct("l_shipdate", "<", date(1997, 1, 1)), Conjunct("l_quantity", "<", 10.0)]
-    assert views.choose("lineitem", {"l_orderkey"}, wanted) == small
-    assert views.choose("lineitem", {"l_orderkey"}, wanted[:2]) == whole
-    assert views.choose("lineitem", {"no_such"}, wanted) is None
-    assert views.choose("orders", {"l_orderkey"}, wanted) is None
-    got = views.read(t.lineitem, "lineitem", wanted, ["l_orderkey", "l_quantity"])
-    text = plan(got)
-    assert "PartitionFilters: [isnotnull(view_year" in text
-    expected = t.lineitem.filter("l_shipdate >= DATE '1996-01-01' and l_shipdate < DATE '1997-01-01' and l_quantity < 10").select("l_orderkey", "l_quantity")
-    assert sorted(got.collect()) == sorted(expected.collect())
+    assert ViewCatalog(str(tmp_path)).load(spark) == [whole, small]
+    text = "SELECT l_orderkey, sum(l_quantity) AS q FROM {lineitem} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND 10 > l_quantity AND l_tax + 0 < 1 GROUP BY l_orderkey"
+    (need,) = needs(spark.sql(text, lineitem=t.lineitem))
+    assert need.columns == {"l_orderkey", "l_quantity", "l_shipdate", "l_tax"}
+    assert Conjunct("l_quantity", "<", 10.0) in need.conjuncts and len(need.conjuncts) == 3
+    assert views.choose("lineitem", [need]) == small and views.choose("orders", [need]) is None
+    wide = Need(need.path, need.columns, need.conjuncts[:2])
+    assert views.choose("lineitem", [wide]) == views.choose("lineitem", [need, wide]) == whole
+    assert views.choose("lineitem", [Need(need.path, frozenset({"no_such"}), need.conjuncts)]) is None
+    got = views.answer(lambda chosen: spark.sql(text, **({"lineitem": t.lineitem} | chosen)), {"lineitem": t.lineitem})
+    assert "PartitionFilters: [isnotnull(view_year" in plan(got) and small.path in plan(got)
+    assert sorted(got.collect()) == sorted(spark.sql(text, lineitem=t.lineitem).collect())
+    twice = "SELECT a.l_orderkey FROM {lineitem} a, {lineitem} b WHERE a.l_orderkey = b.l_orderkey AND a.l_quantity < 5 AND b.l_quantity < 30"
+    assert whole.path in plan(views.answer(lambda chosen: spark.sql(twice, **({"lineitem": t.lineitem} | chosen)), {"lineitem": t.lineitem}))
 
 
 def test_scans_are_pruned_and_filters_pushed(spark):
@@ -60,7 +64,7 @@ def test_aggregates_combine_before_the_shuffle(spark):
     assert "partial_sum" in text
 
 
-@pytest.mark.parametrize("name, node", [("hash_join", "ShuffledHashJoin"), ("sort_merge_join", "SortMergeJoin"), ("top_k", "TakeOrderedAndProject"), ("cross_join", "CartesianProduct|BroadcastNestedLoopJoin")])
+@pytest.mark.parametrize("name, node", [("hash_join", "ShuffledHashJoin"), ("sort_merge_join", "SortMergeJoin"), ("top_k", "TakeOrderedAndProject"), ("cross_join", "CartesianProduct|BroadcastNestedLoopJoin"), ("block_nested_loop_join", "CartesianProduct"), ("index_lookup_join", "In(l_orderkey"), ("order_by_expr", "rangepartitioning"), ("cache_memory", "InMemoryTableScan"), ("cache_disk", "InMemoryTableScan")])
 def test_strategies(spark, name, node):
     text = plan(queries.queries()[name](spark, FOLDER))
     assert any(n in text for n in node.split("|"))
