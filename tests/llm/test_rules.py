@@ -66,14 +66,14 @@ def leaks(rows, items, window=10):
     for i, t in items:
         w = ITEM_WORD.findall(folded(t or ""))
         n = min(window, len(w))
-        for k in range(len(w) - n + 1 if n and i is not None else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[k : k + n]), set()).update(() if i is None else (str(i),))
     out = []
     for d, t in rows:
         w, hit, found = ITEM_WORD.findall(folded(t or "")), set(), set()
         for n in {len(k) for k in windows}:
             for k in range(len(w) - n + 1):
-                if x := windows.get(tuple(w[k : k + n])):
+                if (x := windows.get(tuple(w[k : k + n]))) is not None:
                     hit |= set(range(k, k + n))
                     found |= x
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
@@ -83,7 +83,7 @@ def leaks(rows, items, window=10):
 @pytest.mark.parametrize("block", [1 << 20, 1])
 def test_leaks(spark, tricky, block):
     long = next(t for d, t in tricky_rows() if d == 40)
-    items = [(9, "sAme line; here!"), (10, " ".join(long.split()[500:540])), (11, None), (12, "..."), (13, "one"), (13, "one"), (None, "the the"), (14, "tHe " * 9), (15, "x é <|endoftext|>")]
+    items = [(9, "sAme line; here!"), (10, " ".join(long.split()[500:540])), (11, None), (12, "..."), (13, "one"), (13, "one"), (None, "the the"), (None, " ".join(long.split()[900:920])), (16, " ".join(long.split()[905:915])), (14, "tHe " * 9), (15, "x é <|endoftext|>")]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as digest")
     got = sorted((tuple(r) for r in decontamination.decontaminate(tricky, bench, block_bytes=block).collect()), key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
     assert got == leaks(tricky_rows(), items)
@@ -99,6 +99,25 @@ def test_leaks_of_documents(spark, documents, pairs):
     assert any(r[5] for r in got)
 
 
+def test_many_windows_over_the_same_common_words():
+    """Memory and work follow the places, not places times windows."""
+    import itertools
+    import tracemalloc
+
+    import numpy as np
+
+    words = [f"w{i}" for i in range(10)]
+    orders = itertools.islice(itertools.permutations(words), 0, 400_000, 200)
+    index = decontamination.Index([(str(i), " ".join(o).encode()) for i, o in enumerate(orders)], 10)
+    index.join_on(np.ones(len(index.vocabulary), np.int64))
+    text = np.frombuffer(" ".join(words[(i * i + i // 7) % 10] for i in range(120_000)).encode(), np.uint8)
+    spans = decontamination.ALNUM.spans(text, np.array([0, len(text)]))
+    tracemalloc.start()
+    decontamination._matches(index, text, *spans)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_without_items(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.decontaminate(documents, none).filter("contaminated or n_hit > 0").count() == 0
