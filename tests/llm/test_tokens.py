@@ -93,7 +93,23 @@ def test_files_round_trip(tricky, tmp_path):
         at += n
     order = [r[0] for r in sorted(got, key=lambda r: r[1])]
     assert [d for d in order if d is not None] == sorted(d for d in order if d is not None) and order[:2] == [None, None]
-    assert not [p for p in (tmp_path / "ids").iterdir() if len(p.name.split(".")) > 2]  # no half files
+    again = token_files.read_ids(token_files.manifest(tricky.sparkSession, f"file://{tmp_path}/ids"), f"file://{tmp_path}/ids")
+    assert sorted(map(repr, (tuple(r) for r in again.collect()))) == sorted(map(repr, got))
+
+
+def test_parts_follow_the_size_and_split_equal_ids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = tmp_path / "ids"
+    folder.mkdir()
+    (folder / "part-00000-left.ids").write_bytes(b"x")  # of an attempt that was lost
+    df = spark.range(3_000).select(F.lit(7).alias("doc_id"), F.lit("one two three four").alias("text"))
+    parts = token_files.write_ids(df, f"file://{folder}", part_bytes=8_000)
+    rows = parts.collect()
+    assert len(rows) >= 3 and max(r.n_docs for r in rows) < 2_000 and sum(r.n_docs for r in rows) == 3_000
+    assert sorted(p.name for p in folder.iterdir()) == sorted(["manifest.json", *(f"{r.file}.{k}" for r in rows for k in ("ids", "idx"))])
+    got = sorted(r.start for r in token_files.read_ids(parts, f"file://{folder}").collect())
+    assert got == list(range(0, 3_000 * (len(ids("one two three four")) + 1), len(ids("one two three four")) + 1))
 
 
 def test_packing(tricky):
