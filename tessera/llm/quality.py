@@ -1,29 +1,34 @@
 """Quality rules as a short-circuit cascade of native expressions.
 
-Each rule is a condition over a text and its words. On a sample the cascade
-estimates every rule's cost (its unit costs times the sample's mean numbers of
-characters, words and lines) and its selectivity, and evaluates the rules by
-rejection per cost, the best first; a rejected document skips the rest. The
-order changes the work, never the verdict.
+Each rule is a condition over a text's measures. On a sample the cascade
+measures every rule's selectivity and its cost, which is the time that the rule
+takes on the sample, and evaluates the rules by rejection per cost, the best
+first; a rejected document skips the rest. The order changes the work, never
+the verdict. Measures that are there already are not computed again.
+
+The sample is the first ``sample`` rows of a random tenth of the table, of which
+Spark reads no more partitions than it needs; it decides the order alone.
 
 A null text has no words. Empty texts and texts without words fail the base
-rules. Extra columns are kept by ``keep_good`` and dropped by ``score``.
-Repeated rows are judged one by one. Windows are compared by a 64-bit hash of
-their words within one text.
+rules. A very long text is judged whole, with 64-bit numbers. Rules of equal
+rejection per cost go by name. Extra columns are kept by ``keep_good`` and
+dropped by ``score``. Repeated rows are judged one by one. An empty table gives
+no rows. Windows are compared by a 64-bit hash of their words within one text.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, WORD, carried, unpacked
+from .common import SEPARATORS, WORD, Scratch, carried, unpacked
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Rows of the sample that costs and selectivities are estimated on, about.
+#: Rows of the sample that costs and selectivities are measured on, at most.
 SAMPLE = 2_000
 #: Up to so many distinct repeated windows, their places are found by a scan, beyond by a sort.
 SCAN = 16
@@ -86,26 +91,57 @@ def duplicate_lines(found: Column) -> Column:
     return F.size(found) - F.size(F.array_distinct(found))
 
 
+class Measures:
+    """What rules judge: a text, its words, and measures of them, which are computed only where a rule asks for one."""
+
+    def __init__(self, text: Column, words_: Column, **known: Column):
+        self.text, self.words, self.known = text, words_, known
+
+    def _long(self, name: str, make: Callable[[], Column]) -> Column:
+        return (self.known[name] if name in self.known else make()).cast("long")
+
+    @property
+    def n_words(self) -> Column:
+        return self._long("n_words", lambda: F.size(self.words))
+
+    @property
+    def word_chars(self) -> Column:
+        return self._long("word_chars", lambda: word_chars(self.words))
+
+    @property
+    def symbols(self) -> Column:
+        return self._long("symbols", lambda: symbols(self.text))
+
+    @property
+    def repeated(self) -> Column:
+        return self._long("repeated", lambda: repeated_words(self.words))
+
+    def of_lines(self, use: Callable[[Column, Column], Column]) -> Column:
+        """use(lines, repeated ones among them), as numbers."""
+        if "n_lines" in self.known:
+            return use(self.known["n_lines"].cast("long"), self.known["dup_lines"].cast("long"))
+        return let(lines(self.text), lambda x: use(F.size(x).cast("long"), duplicate_lines(x).cast("long")))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """fails(text, words, lines) is true for a document to reject; cost: for each character, word and line."""
+    """fails(measures) is true for a document to reject."""
 
     name: str
-    fails: Callable[[Column, Column, Column], Column]
-    cost: tuple[float, float, float]
+    fails: Callable[[Measures], Column]
 
 
 #: The base rules, which the contract fixes.
 BASE = (
-    Rule("few_words", lambda t, w, n: F.size(w) < 50, (0, 0.01, 0)),
-    Rule("repeated_windows", lambda t, w, n: 100 * repeated_words(w) > 50 * F.size(w), (0, 40, 0)),
+    Rule("few_words", lambda m: m.n_words < 50),
+    Rule("repeated_windows", lambda m: 100 * m.repeated > 50 * m.n_words),
 )
 RULES = (
     *BASE,
-    Rule("symbols", lambda t, w, n: 10 * symbols(t) > F.size(w), (1, 0, 0)),
-    Rule("capitals", lambda t, w, n: 10 * F.length(F.regexp_replace(t, "[^A-Z]+", "")) > 3 * F.length(t), (1.5, 0, 0)),
-    Rule("word_length", lambda t, w, n: let(word_chars(w), lambda c: (c < 3 * F.size(w)) | (c > 10 * F.size(w))), (0.1, 0.5, 0)),
-    Rule("duplicate_lines", lambda t, w, n: let(n, lambda x: 2 * duplicate_lines(x) > F.size(x)), (1, 0, 5)),
+    Rule("symbols", lambda m: 10 * m.symbols > m.n_words),
+    Rule("capitals", lambda m: 10 * F.length(F.regexp_replace(m.text, "[^A-Z]+", "")).cast("long") > 3 * F.length(m.text).cast("long")),
+    Rule("word_length", lambda m: let(m.word_chars, lambda c: (c < 3 * m.n_words) | (c > 10 * m.n_words))),
+    Rule("duplicate_lines", lambda m: m.of_lines(lambda n, again: 2 * again > n)),
 )
 
 
@@ -114,45 +150,55 @@ def _of(text: Column, use: Callable[[Column, Column], Column]) -> Column:
     return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(words(t), lambda w: use(t, w)))
 
 
-def _fails(rule: Rule, t: Column, w: Column) -> Column:
-    return rule.fails(t, w, lines(t))
-
-
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> list[Rule]:
-    """The rules by rejection per cost, estimated on a sample of about ``sample`` rows."""
-    total = docs.count()
-    part = docs.select(F.col(text_col).alias("text"))
-    part = part if total <= sample else part.sample(sample / total, seed=seed)
-    seen = part.select(_of(F.col("text"), lambda t, w: F.array(F.length(t), F.size(w), F.size(lines(t)), *(_fails(r, t, w).cast("int") for r in rules))).alias("x"))
-    row = seen.agg(*(F.avg(F.col("x")[i]) for i in range(3 + len(rules)))).first()
-    means, rates = [x or 0.0 for x in row[:3]], [x or 0.0 for x in row[3:]]
-    cost = {r.name: 1e-9 + sum(a * b for a, b in zip(r.cost, means, strict=True)) for r in rules}
-    return [r for r, rate in sorted(zip(rules, rates, strict=True), key=lambda x: (-x[1] / cost[x[0].name], cost[x[0].name], x[0].name))]
-
-
-def first_failure(rules: list[Rule], t: Column, w: Column) -> Column:
+    """The rules by rejection per cost, both measured on a sample of up to ``sample`` rows."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    some = docs.select(F.col(text_col).alias("text"))
+    rows = scratch.write(some.sample(0.1, seed=seed).limit(sample), "sample")
+    if rows.isEmpty():  # a table of a few rows
+        rows = scratch.write(some.limit(sample), "sample")
+    n = max(1, rows.count())
+
+    def timed(use: Callable[[Column, Column], Column]) -> tuple[float, float]:
+        """Seconds, and the share of rows for which use() is true."""
+        query, best, share = rows.agg(F.sum(_of(F.col("text"), use).cast("long"))), None, 0.0
+        for _ in range(3):  # the first compiles the expression
+            began = time.perf_counter()
+            share = (query.first()[0] or 0) / n
+            best = min(best or 1e9, time.perf_counter() - began)
+        return best, share
+
+    nothing, _ = timed(lambda t, w: F.size(w) < 0)
+    found = {r.name: timed(lambda t, w, r=r: r.fails(Measures(t, w))) for r in rules}
+    scratch.drop("sample")
+    cost = {k: max(took - nothing, 1e-4) for k, (took, _) in found.items()}
+    return sorted(rules, key=lambda r: (-found[r.name][1] / cost[r.name], cost[r.name] if not found[r.name][1] else 0, r.name))
+
+
+def first_failure(rules: list[Rule], m: Measures) -> Column:
     """The name of the first rule, in this order, that rejects a text; null if none. The rules behind it are not evaluated."""
     out = F
     for r in rules:
-        out = out.when(_fails(r, t, w), F.lit(r.name))
+        out = out.when(r.fails(m), F.lit(r.name))
     return out
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
     order = ordered(docs, rules, text_col=text_col)
-    failed = _of(F.col("_row").getField(text_col), lambda t, w: first_failure(order, t, w))
+    failed = _of(F.col("_row").getField(text_col), lambda t, w: first_failure(order, Measures(t, w)))
     return unpacked(carried(docs).filter(failed.isNull()), docs.columns)
 
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, and failed_rule, of every row of documents."""
     order = ordered(docs, tuple(r for r in rules if r not in BASE))
+    base = [r for r in rules if r in BASE]
 
     def judge(t: Column, w: Column) -> Column:
-        base = F.array(F.size(w), word_chars(w), symbols(t), let(lines(t), duplicate_lines), repeated_words(w))
-        few, repeats = lambda m: m[0] < 50, lambda m: 100 * m[4].cast("long") > 50 * m[0].cast("long")
-        return let(base, lambda m: F.struct(m.alias("m"), F.when(few(m), "few_words").when(repeats(m), "repeated_windows").otherwise(first_failure(order, t, w)).alias("failed_rule")))
+        counted = let(lines(t), lambda x: F.array(F.size(w), word_chars(w), symbols(t), duplicate_lines(x), repeated_words(w), F.size(x)))
+        names = ("n_words", "word_chars", "symbols", "dup_lines", "repeated", "n_lines")
+        return let(counted, lambda m: F.struct(m.alias("m"), first_failure(base + order, Measures(t, w, **{k: m[i] for i, k in enumerate(names)})).alias("failed_rule")))
 
     judged = docs.select("doc_id", _of(F.col("text"), judge).alias("j")).select("doc_id", F.col("j.m").alias("m"), F.col("j.failed_rule").alias("failed_rule"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

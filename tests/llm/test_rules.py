@@ -45,7 +45,7 @@ def test_order_changes_the_work_alone(documents):
     want = sorted(r.doc_id for r in quality.score(documents).filter("kept").collect())
     assert sorted(r.doc_id for r in quality.keep_good(documents).collect()) == want
     for order in (quality.RULES, quality.RULES[::-1]):
-        failed = quality._of(documents["text"], lambda t, w: quality.first_failure(list(order), t, w))  # noqa: B023
+        failed = quality._of(documents["text"], lambda t, w: quality.first_failure(list(order), quality.Measures(t, w)))  # noqa: B023
         assert sorted(r.doc_id for r in documents.filter(failed.isNull()).select("doc_id").collect()) == want
 
 
