@@ -21,11 +21,12 @@ Two sets of distinct 5-word shingles link when 100 |A & B| >= 75 |A | B|.
 * Lists of up to LONG members make all their pairs. In longer ones each star
   round pairs the members with one centre; found links join members to
   components, and only pairs between components are left. When these are few, or
-  a round no longer lessens them, the long lists that are still open become
-  cells: the sets of a list's members, dealt into blocks, go to one task for
-  each pair of blocks, which runs the whole T-occurrence search there and gives
-  back links alone. So rows grow with the lists' entries (times the blocks of a
-  list), never with their pairs. Lists of the same members are one cell.
+  a round no longer lessens them, a long list that is still open makes its pairs
+  if they take no more room than its members' sets. The others become cells: the
+  sets of a list's members, dealt into blocks, go to one task for each pair of
+  blocks, which runs the whole T-occurrence search there and gives back links
+  alone. So rows grow with the lists' entries (times the blocks of a list), never
+  with their pairs. Lists of the same members are one cell.
 * That finds the components, not all links. As both ends of a link are in one
   component, the links of each id are then counted there, block by block, by the
   same search. No pair is listed; the work on a component grows with the square
@@ -70,6 +71,8 @@ ORDERED = 200_000
 PAIRS = 50_000
 #: A star round that leaves more than this share of the pairs is the last one.
 PROGRESS = 0.6
+#: Shingles of sets that take as much room as a pair.
+PAIR_SHINGLES = 4
 #: DivideSkip's weight of a list's length against its number; entries that a heap merges; entries that cost as much as one probe.
 WEIGHT = 0.2
 HEAP = 24
@@ -182,7 +185,7 @@ def _parted(late: np.ndarray, rank: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole, long, level, end = [], [], [], []
+            whole, long, level, end, n = [], [], [], [], []
             for _, found in shingle_sets(b):
                 short = prefix(found, late, rank)
                 whole.append(found.tobytes())
@@ -190,24 +193,24 @@ def _parted(late: np.ndarray, rank: np.ndarray):
                 at = min(int(np.searchsorted(late, short[-1])), len(late) - 1) if len(late) and len(short) else -1
                 level.append(int(rank[at]) if at >= 0 and late[at] == short[-1] else 0)
                 end.append(int(short[-1]) if len(short) else 0)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "shingles": pa.array(whole, pa.binary()), "long": pa.array(long, pa.binary()), "level": pa.array(level, pa.int64()), "end": _signed(np.array(end, U))})
+                n.append(len(found))
+            # the order of unsigned hashes as one of signed numbers
+            ends = pa.array((np.array(end, U) ^ U(1 << 63)).view(np.int64))
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "n": pa.array(n, pa.int64()), "shingles": pa.array(whole, pa.binary()), "long": pa.array(long, pa.binary()), "level": pa.array(level, pa.int64()), "end": ends})
 
     return run
 
 
-_PARTED = "doc_id long, shingles binary, long binary, level long, end long"
+_PARTED = "doc_id long, n long, shingles binary, long binary, level long, end long"
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs that reach the required overlap: what their short lists have in common, and what probes of long lists add."""
+    """Keeps the pairs that reach the required overlap: what their short lists have in common, and what probes of a's long lists find of b."""
     for b in batches:
-        x, y = ([np.frombuffer(v.as_buffer(), U) for v in b.column(c)] for c in ("x", "y"))
-        x_long, y_long = ([np.frombuffer(v.as_buffer(), U) for v in b.column(c)] for c in ("x_long", "y_long"))
-        x_end, y_end = (list(zip(b.column(f"{c}_level").to_pylist(), b.column(f"{c}_end").to_numpy().view(U).tolist())) for c in "xy")
         keep = []
-        for i, both in enumerate(b.column("both").to_pylist()):
-            size, first = len(x[i]) + len(y[i]), x_end[i] <= y_end[i]
-            long, other = (x_long[i], y[i]) if first else (y_long[i], x[i])
+        for both, n, long, other in zip(b.column("both").to_pylist(), b.column("n").to_pylist(), b.column("long"), b.column("shingles"), strict=True):
+            long, other = np.frombuffer(long.as_buffer(), U), np.frombuffer(other.as_buffer(), U)
+            size = n + len(other)
             if (NUM + DEN) * (both + len(long)) >= NUM * size:
                 both += int((other[np.minimum(np.searchsorted(other, long), len(other) - 1)] == long).sum())
             keep.append((NUM + DEN) * both >= NUM * size)
@@ -378,8 +381,11 @@ def _reaching(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda c, x: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(x), F.col("long").alias(f"{x}_long"), F.col("level").alias(f"{x}_level"), F.col("end").alias(f"{x}_end"))
-    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").mapInArrow(_probe, "a long, b long")
+    """The pairs that link; a becomes the one whose short lists end first."""
+    ends = lambda c: sets.select(F.col("doc_id").alias(c), F.struct("level", "end").alias(f"{c}_end"))
+    first = F.col("a_end") <= F.col("b_end")
+    turned = pairs.join(ends("a"), "a").join(ends("b"), "b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "both").distinct()
+    return turned.join(sets.select(F.col("doc_id").alias("a"), "n", "long"), "a").join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").mapInArrow(_probe, "a long, b long")
 
 
 def _side(x: str) -> list[Column]:
@@ -403,19 +409,15 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     small, now = lists.filter(F.col("size") <= LONG).withColumn("c", F.col("doc_id")), lists.filter(F.col("size") > LONG).withColumn("c", F.col("doc_id"))
     while True:
         at = lambda x: f"{name}_{x}{round_}"  # noqa: B023, E731
-        by = now.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.max_by("c", F.struct("k", "c")).alias("main"))
+        by = now.groupBy("shingle", "c").agg(F.count("*").alias("k"), F.sum("n").alias("of_c")).groupBy("shingle")
+        by = by.agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("of_c").alias("shingles"), F.max_by("c", F.struct("k", "c")).alias("main"))
         open_lists = scratch.write(by.filter("pairs > 0"), at("open"))
         left = open_lists.agg(F.sum("pairs")).first()[0] or 0
         if round_ and not left:
             break
         last = left <= PAIRS or (before is not None and left > PROGRESS * before)
         before = left
-        still = scratch.write(now.join(open_lists.select("shingle", "main"), "shingle"), at("still"))
-        if last and round_:
-            links = links.unionByName(_cells(docs, still, scratch, at))
-            found = components(links, scratch, at("components"))
-            found = scratch.write(found, at("found"))
-            break
+        still = scratch.write(now.join(open_lists.select("shingle", "main", (F.col("pairs") * PAIR_SHINGLES <= F.col("shingles")).alias("few")), "shingle"), at("still"))
         pairs = None
         if left:
             if round_:
@@ -423,11 +425,13 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
             else:  # the member that meets most others, as the original of edited copies does
                 met = still.groupBy("doc_id").agg(F.sum("size").alias("met")).withColumnRenamed("doc_id", "member")
                 turn, ranked = -F.col("met"), still.join(met, F.col("doc_id") == F.col("member"))
-            centre = ranked.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), *_side("b"))).alias("m")).select("shingle", "m.*").drop("t")
-            pairs = still.select(F.col("shingle").alias("list"), *_side("a")).join(scratch.write(centre, at("centre")), (F.col("list") == F.col("shingle")) & _could_link())
-        if not round_:  # lists of a few members: all pairs
-            few = small.select(F.col("shingle").alias("list"), *_side("a")).join(small.select("shingle", *_side("b")), (F.col("list") == F.col("shingle")) & (F.col("a") < F.col("b")) & _could_link())
-            pairs = few if pairs is None else few.unionByName(pairs)
+            if last and round_:
+                pairs = _all_pairs(still.filter("few"))
+            else:
+                centre = ranked.groupBy("shingle").agg(F.min(F.struct(turn.alias("t"), *_side("b"))).alias("m")).select("shingle", "m.*").drop("t")
+                pairs = still.select(F.col("shingle").alias("list"), *_side("a")).join(scratch.write(centre, at("centre")), (F.col("list") == F.col("shingle")) & _could_link())
+        if not round_:  # lists of a few members
+            pairs = _all_pairs(small) if pairs is None else _all_pairs(small).unionByName(pairs)
         pairs = scratch.write(_reaching(pairs, own), at("pairs"))
         scratch.drop(at("now"), at("open"), at("centre"))
         members = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -436,16 +440,25 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
         new = scratch.write(_links(pairs, sets), at("links"))
         scratch.drop(at("sets"), at("pairs"))
         links = new if links is None else links.unionByName(new)
+        if last and round_:
+            rest = still.filter("not few")
+            if not rest.isEmpty():
+                links = links.unionByName(_cells(docs, rest, scratch, at))
         found = scratch.write(components(links, scratch, at("components")), at("found"))
-        round_ += 1
-        if not left:
+        if not left or (last and round_):
             break
-        now = still.drop("c", "main").join(found.select(F.col("node").alias("member"), "component"), F.col("doc_id") == F.col("member"), "left")
+        round_ += 1
+        now = still.drop("c", "main", "few").join(found.select(F.col("node").alias("member"), "component"), F.col("doc_id") == F.col("member"), "left")
         now = scratch.write(now.select("shingle", "doc_id", "n", "place", "size", F.coalesce("component", "doc_id").alias("c")), at("now"))
     scratch.drop(f"{name}_lists")
     return links, found
 
 
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """The pairs of different components of some lists, within the length and the positional bound."""
+    return lists.select(F.col("shingle").alias("list"), *_side("a")).join(lists.select("shingle", *_side("b")), (F.col("list") == F.col("shingle")) & (F.col("a") < F.col("b")) & _could_link())
+
+
 def _cells(docs: DataFrame, still: DataFrame, scratch: common.Scratch, at) -> DataFrame:
     """Links (a, b) that join what the open lists' members can still join: of each list the members outside its
     largest component ask all its members."""
@@ -564,3 +577,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
         first = kept.filter("_same is not null").groupBy("_same").agg(F.first("_row").alias("_row"))
         kept = kept.filter("_same is null").select("_row").unionByName(first.select("_row"))
     return common.unpacked(kept, docs.columns)
+
+
+#: DuckDB SQL for the columns of linked_copies().
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, gram FROM (
+  SELECT doc_id, array_to_string(ws[i : i + 4], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+c AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id LEFT JOIN c ON c.a = w.doc_id
+"""

@@ -55,8 +55,9 @@ def test_groups_of_documents(documents, pairs):
     check(documents, pairs)
 
 
-@pytest.mark.parametrize("pairs_at_once, progress, long, block", [(0, 0.6, 3, 500), (10**9, 0.6, 10**9, 500), (0, -1, 2, 500), (0, -1, 1, 2)])
-def test_rounds_cells_and_order_lose_no_link(spark, tricky, monkeypatch, pairs_at_once, progress, long, block):
+@pytest.mark.parametrize("pairs_at_once, progress, long, block, room", [(0, 0.6, 3, 500, 4), (10**9, 0.6, 10**9, 500, 4), (0, -1, 2, 500, 0), (0, -1, 1, 2, 10**9)])
+def test_rounds_cells_and_order_lose_no_link(spark, tricky, monkeypatch, pairs_at_once, progress, long, block, room):
+    monkeypatch.setattr(jaccard, "PAIR_SHINGLES", room)
     monkeypatch.setattr(jaccard, "PAIRS", pairs_at_once)
     monkeypatch.setattr(jaccard, "PROGRESS", progress)
     monkeypatch.setattr(jaccard, "LONG", long)
