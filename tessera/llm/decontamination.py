@@ -328,3 +328,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> Da
     own = F.sha2(F.coalesce(mine["_row"].getField("text").cast("string"), F.lit("")), 256)
     same = (own == bad["_digest"]) & mine["_row"].getField("doc_id").cast("long").eqNullSafe(bad["_id"])
     return common.unpacked(mine.join(F.broadcast(bad) if n <= common.BROADCAST_ROWS // 4 else bad, same, "left_anti"), docs.columns)
+
+
+#: DuckDB SQL for the columns of decontaminate().
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM t)),
+g AS (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS gram FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+h AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM g JOIN win USING (n, gram)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, i + unnest(range(n)) AS p FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, list_sort(list(DISTINCT item_id) FILTER (item_id IS NOT NULL)) AS items FROM h GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination, jaccard, licenses, substrings
 from .common import table
 from .decontamination import decontaminate
 from .hmm import score as hmm_score
@@ -40,4 +41,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": QUALITY_SQL}
+    return {
+        "op1_license_scan": licenses.sql(),
+        "op3_substring_dedup": substrings.SQL,
+        "op4_ngram_jaccard": jaccard.SQL,
+        "op7_quality_rules": QUALITY_SQL,
+        "op8_decontamination": decontamination.SQL,
+    }

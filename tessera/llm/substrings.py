@@ -281,3 +281,15 @@ def cut_texts(docs: DataFrame, *, words: int = WORDS, seed: int = SEED) -> DataF
     size = F.when(F.col("n_removed") > 0, F.length(F.col("kept").cast("string")).cast("long"))
     new = {"text": text} | ({"n_chars": F.coalesce(size, F.col("row.n_chars"))} if "n_chars" in columns else {})
     return out.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in columns))
+
+
+#: DuckDB SQL for the columns of cut_repeats().
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, hash(ws[i : i + 19]) AS a, md5(array_to_string(ws[i : i + 19], ' ')) AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b ORDER BY doc_id NULLS FIRST, i) AS k FROM g) WHERE k > 1),
+c AS (SELECT doc_id, list(DISTINCT i + o) AS gone FROM r, (SELECT unnest(range(20)) AS o) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id
+"""
