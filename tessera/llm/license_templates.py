@@ -1,4 +1,8 @@
-"""Public licence notices, by SPDX identifier and kind. Their wording is that of the licences' own notices."""
+"""Public licence notices and the bodies of short licences, by SPDX identifier and kind.
+
+Their wording is that of the licences' own texts. Bodies of long licences are
+not here: ``licenses.from_folder`` reads such files, and ``scan`` takes them.
+"""
 
 TEMPLATES: dict[str, str] = {
     "MIT/line": "Released under the MIT License.",
@@ -30,11 +34,69 @@ TEMPLATES: dict[str, str] = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
     ),
-    "BSD-3-Clause/grant": (
+    "GPL-2.0/line": "This program is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0/line": "This library is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1/header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0/header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0/line": "This program is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0/header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "GPL/warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    ),
+    "BSD/grant": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
         "following disclaimer."
     ),
+    "BSD-2-Clause/body": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+        'COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    ),
+    "BSD-3-Clause/endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission."
+    ),
+    "Zlib/body": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this "
+        "software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, "
+        "an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly "
+        "marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any "
+        "source distribution."
+    ),
+    "BSL-1.0/grant": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, '
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"
+    ),
+    "0BSD/grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "CC0-1.0/notice": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to "
+        "the public domain worldwide. This software is distributed without any warranty."
+    ),
+    "EPL-2.0/header": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available "
+        "at https://www.eclipse.org/legal/epl-2.0"
+    ),
+    "Unlicense/grant": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
     "ISC/grant": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
         "that the above copyright notice and this permission notice appear in all copies."

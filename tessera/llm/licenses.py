@@ -7,14 +7,18 @@ any s shingles in a row. A window that contains CONTAINMENT of a template has
 a Jaccard similarity to it of at least ``similarity()``; with bands of one
 minimum each, ``bands()`` of them miss such a window with a probability of at
 most MISS. Windows without any template shingle cannot share a minimum with a
-template, so only the others get a signature. What the bands retrieve is kept
-if the window holds CONTAINMENT of the template's shingles, counted exactly.
+template, so a join on the shingles comes first, and only windows over its
+places get a signature; it changes the work, not what the bands retrieve. What
+they retrieve is kept if the window holds CONTAINMENT of the template's
+shingles, counted exactly.
 
-Templates are a parameter, and their shingles and minima are sent to the tasks:
-at most TEMPLATE_SHINGLES of them, checked.
+Templates are a parameter, and their shingles and minima are sent to the tasks
+as tables: at most TEMPLATE_SHINGLES of them, checked.
 
 Null and empty texts, and texts of fewer than WORDS words, match nothing; texts
-without a match have no row. Rows of one doc_id are reported together. Extra
+without a match, and an empty table, have no row. A very long text is read whole,
+its windows one by one. Equally good windows are all counted, the first is
+reported. Rows of one doc_id are reported together, repeated rows once. Extra
 columns are ignored.
 """
 
@@ -23,9 +27,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS, Scratch
 from .license_templates import TEMPLATES
 from .quality import let
 
@@ -78,18 +83,51 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
     known = spark.createDataFrame(list(templates.items()), "template string, body string").select("template", F.array_distinct(shingles(F.col("body"))).alias("needed"))
     rows = known.collect()  # at most TEMPLATE_SHINGLES numbers
     sizes = {r.template: size_class(len(r.needed)) for r in rows}
-    every = F.array(*(F.lit(x) for x in sorted({x for r in rows for x in r.needed})))
+    every = spark.createDataFrame([(x,) for x in sorted({x for r in rows for x in r.needed})], "shingle long")
     n = bands()
     wanted = spark.createDataFrame([(r.template, r.template.split("/")[0], sizes[r.template], r.needed) for r in rows], "template string, license string, s int, needed array<bigint>")
     minima = wanted.select("template", "license", "s", "needed", F.explode(_signature(F.col("needed"), n)).alias("m")).select("template", "license", "s", "needed", "m.*")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("digest"), shingles(text).alias("all"))
-    some = read.withColumn("common", F.array_intersect("all", every)).filter(F.size("common") > 0)
-    hits = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains("common", x), i).otherwise(-1)), lambda i: i >= 0)
-    seen = some.select("doc_id", "digest", F.explode(let(hits, lambda h: _windows(F.col("all"), h, sorted(set(sizes.values()))))).alias("w")).select("doc_id", "digest", "w.*")
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    key = F.xxhash64("doc_id", "text")  # two rows of one key only get each other's places, too
+    places = read.select(key.alias("key"), F.posexplode(shingles(F.col("text"))).alias("at", "shingle")).join(F.broadcast(every), "shingle")
+    scratch = Scratch(spark, "licenses")
+    places = scratch.write(places.groupBy("key").agg(F.collect_set("at").alias("hits")), "places")
+    found = places.count()
+    some = read.withColumn("key", key).join(F.broadcast(places) if found <= BROADCAST_ROWS // 4 else places, "key")
+    some = some.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), shingles(F.col("text")).alias("all"), "hits")
+    seen = some.select("doc_id", "digest", F.explode(_windows(F.col("all"), F.col("hits"), sorted(set(sizes.values())))).alias("w")).select("doc_id", "digest", "w.*")
     signed = seen.select("doc_id", "digest", "s", "start", "window", F.explode(_signature(F.col("window"), n)).alias("m")).select("doc_id", "digest", "s", "start", "window", "m.*")
     found = signed.join(F.broadcast(minima), ["s", "band", "least"]).dropDuplicates(["doc_id", "digest", "s", "start", "template"])
     share = F.size(F.array_intersect("window", "needed")) / F.size("needed")
     first = F.array_position(F.transform("window", lambda x: F.array_contains("needed", x)), True)
     checked = found.withColumn("containment", share).filter(F.col("containment") >= CONTAINMENT).withColumn("first_word", F.col("start") + first - 1)
     return checked.groupBy("doc_id", "license", "template").agg(F.max("containment").alias("containment"), F.min("first_word").cast("long").alias("first_word"), F.count("*").alias("n_windows"))
+
+
+def from_folder(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from files named by SPDX identifier, for whole bodies of long licences."""
+    rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()  # as many as scan() takes
+    return {f"{r.name.removesuffix('.txt')}/body": r.value for r in rows}
+
+
+def sql(templates: dict[str, str] | None = None) -> str:
+    """DuckDB SQL for the rows of scan(), by exact containment in all windows."""
+    cut = lambda x: f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
+    gram = f"array_to_string(ws[i : i + {WORDS - 1}], ' ')"
+    rows = ", ".join("('{}', '{}', {}, '{}')".format(k, k.split("/")[0], size_class(_distinct(v)), v.replace("'", "''")) for k, v in (templates or TEMPLATES).items())
+    return f"""
+WITH t(template, license, s, body) AS (VALUES {rows}),
+need AS (SELECT DISTINCT template, license, s, {gram} AS gram FROM (SELECT template, license, s, ws, unnest(range(1, len(ws) - {WORDS - 2})) AS i FROM (SELECT *, {cut("body")} AS ws FROM t))),
+size AS (SELECT template, count(*) AS m FROM need GROUP BY template),
+g AS (SELECT doc_id, i - 1 AS p, {gram} AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WORDS - 2})) AS i FROM (SELECT doc_id, {cut("text")} AS ws FROM documents) WHERE len(ws) >= {WORDS})),
+h AS (SELECT doc_id, p, gram, template, license, s, unnest([p // s * s, (p // s - 1) * s]) AS start FROM g JOIN need USING (gram)),
+w AS (SELECT doc_id, license, template, start, count(DISTINCT gram) AS k, min(p) AS first FROM h WHERE start >= 0 GROUP BY ALL)
+SELECT doc_id, license, template, max(k / m) AS containment, CAST(min(first) AS BIGINT) AS first_word, count(*) AS n_windows
+FROM w JOIN size USING (template) WHERE k >= {CONTAINMENT} * m GROUP BY doc_id, license, template
+"""
+
+
+def _distinct(body: str) -> int:
+    w = re.findall("[a-z0-9]+", body.lower())
+    return len({tuple(w[i : i + WORDS]) for i in range(len(w) - WORDS + 1)})
