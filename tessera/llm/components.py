@@ -15,6 +15,9 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     takes its larger, then its smaller neighbours) until the links are stars
     around the smallest nodes. Each step is an aggregate by node, combined
     before the shuffle for the minimum, and a join; its result is written.
+
+    A link with a null end is none; repeated links count once, loops not at all;
+    an empty table gives no rows.
     """
     edges = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), f"{name}_0")
     step, mark = 0, _mark(edges)

@@ -161,6 +161,22 @@ def test_licenses_with_edits(spark):
     assert got.keys() == want.keys() and all(got[k][:2] == want[k][:2] for k in want)
 
 
+def test_licenses_take_what_is_tricky(spark, tricky):
+    mit, apache = licenses.TEMPLATES["MIT/grant"], licenses.TEMPLATES["Apache-2.0/header"]
+    rows = [*tricky_rows(), (None, mit), (None, mit), (48, "word " * 50_000 + apache)]
+    want = contained(list(dict.fromkeys(rows)), licenses.TEMPLATES)
+    more = spark.createDataFrame(rows[-3:], "doc_id long, text string")
+    assert len(want) >= 3 and found(licenses.scan(tricky.unionByName(more, allowMissingColumns=True))) == want
+
+
+def test_templates_from_a_folder(spark, tmp_path):
+    (tmp_path / "X-1.0.txt").write_text("these are the words\nof a licence of some length")
+    templates = licenses.from_folder(spark, str(tmp_path))
+    assert list(templates) == ["X-1.0/body"]
+    df = spark.createDataFrame([(1, "here: These are the words of a licence of some length."), (2, "none of it")], "doc_id long, text string")
+    assert [(r.doc_id, r.license) for r in licenses.scan(df, templates).collect()] == [(1, "X-1.0")]
+
+
 def test_band_settings(documents):
     assert (1 - licenses.similarity()) ** licenses.bands() <= licenses.MISS
     with pytest.raises(ValueError):
