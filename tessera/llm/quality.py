@@ -6,8 +6,9 @@ takes on the sample, and evaluates the rules by rejection per cost, the best
 first; a rejected document skips the rest. The order changes the work, never
 the verdict. Measures that are there already are not computed again.
 
-The sample is the first ``sample`` rows of a random tenth of the table, of which
-Spark reads no more partitions than it needs; it decides the order alone.
+The sample is the first ``sample`` rows of a random tenth of the table, taken
+from as few partitions as have them, and without texts of over SAMPLE_CHARS, so
+that the driver gets a bounded number of bytes. It decides the order alone.
 
 A null text has no words. Empty texts and texts without words fail the base
 rules. A very long text is judged whole, with 64-bit numbers. Rules of equal
@@ -30,6 +31,7 @@ from .common import SEPARATORS, WORD, Scratch, carried, unpacked
 SYMBOLS = r"[#*$%&|<>]"
 #: Rows of the sample that costs and selectivities are measured on, at most.
 SAMPLE = 2_000
+SAMPLE_CHARS = 1 << 15
 #: Up to so many distinct repeated windows, their places are found by a scan, beyond by a sort.
 SCAN = 16
 
@@ -152,12 +154,11 @@ def _of(text: Column, use: Callable[[Column, Column], Column]) -> Column:
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample: int = SAMPLE, seed: int = 11) -> list[Rule]:
     """The rules by rejection per cost, both measured on a sample of up to ``sample`` rows."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    some = docs.select(F.col(text_col).alias("text"))
-    rows = scratch.write(some.sample(0.1, seed=seed).limit(sample), "sample")
-    if rows.isEmpty():  # a table of a few rows
-        rows = scratch.write(some.limit(sample), "sample")
-    n = max(1, rows.count())
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "quality")
+    some = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    taken = some.sample(0.1, seed=seed).take(sample) or some.take(sample)  # the latter of a table of a few rows
+    rows = scratch.write(spark.createDataFrame(taken, "text string").coalesce(1), "sample")
+    n = max(1, len(taken))
 
     def timed(use: Callable[[Column, Column], Column]) -> tuple[float, float]:
         """Seconds, and the share of rows for which use() is true."""
