@@ -49,11 +49,17 @@ OWN_LEAST = 5
 BUCKETS = 512
 TABLE = 200_000
 ROUNDS = 14
-#: Tokens of a piece of a long document; steps between two scalings of a product; tokens whose forward and backward numbers are held at once.
+#: Tokens of a piece of a long document at least; longer pieces while so many sequences run side by side, which is less work than products over pieces.
 PIECE = 1_024
+WIDE = 256
+#: Steps between two scalings of a product.
 RESCALE = 8
-BATCH = 1 << 18
-#: Training tokens of one task of a round at most, about. Each task returns a row for each class, so few large tasks shuffle least.
+#: Tokens, and sequences, that run side by side, as each time step has its price; tokens whose forward and backward numbers are held at once; tokens whose chances of states are.
+RUN = 1 << 23
+MOST = 1 << 13
+BATCH = 1 << 16
+HELD = 1 << 18
+#: Training tokens of one task of a round at most, about. Each task returns a row for each class, and long sequences need others beside them, so few large tasks cost least.
 TASK_TOKENS = 1 << 27
 #: Pseudo-tokens of the corpus' own class shares in each state, and of uniform moves between states.
 PRIOR = 200.0
@@ -180,12 +186,12 @@ class Model:
 
 
 def _runs(lengths: np.ndarray, limit: int) -> Iterator[np.ndarray]:
-    """Indexes of sequences from long to short, in runs of about ``limit`` items."""
+    """Indexes of sequences from long to short, in runs of about ``limit`` items and MOST sequences at most."""
     order = np.argsort(-lengths, kind="stable")
     sums = np.cumsum(lengths[order])
     at = 0
     while at < len(order):
-        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + limit, "right")))
+        end = min(at + MOST, max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + limit, "right"))))
         yield order[at:end]
         at = end
 
@@ -198,10 +204,16 @@ class _Run:
         #: For each time step, how many of the sequences still run, and where its items start.
         self.active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
         self.edge = np.concatenate(([0], np.cumsum(self.active)))
-        starts = np.concatenate(([0], np.cumsum(lengths)))
-        time = np.arange(starts[-1]) - np.repeat(starts[:-1], lengths)
-        self.items = np.empty(starts[-1], np.int64)
-        self.items[self.edge[time] + np.repeat(np.arange(len(sequences)), lengths)] = np.concatenate(sequences)
+        self.items = np.empty(self.edge[-1], sequences[0].dtype)
+        at = 0
+        while at < len(sequences):  # tables of sequences of about one length, turned over
+            end = min(int(np.searchsorted(-lengths, -(lengths[at] // 2), "right")), at + max(1, (1 << 21) // int(lengths[at])))
+            table = np.zeros((end - at, lengths[at]), sequences[at].dtype)
+            for row, x in zip(table, sequences[at:end]):
+                row[: len(x)] = x
+            for t, (column, n) in enumerate(zip(np.ascontiguousarray(table.T), np.minimum(self.active[: lengths[at]], end) - at)):
+                self.items[self.edge[t] + at : self.edge[t] + at + n] = column[:n]
+            at = end
 
 
 def _products(model: Model, pieces: list[np.ndarray], heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,55 +223,52 @@ def _products(model: Model, pieces: list[np.ndarray], heads: np.ndarray) -> tupl
     """
     k, out, scales = len(model.start), np.empty((len(model.start),) * 2 + (len(pieces),)), np.empty(len(pieces))
     emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    for mine in _runs(np.array([len(x) for x in pieces], np.int64), 2 * BATCH):
-        run = _Run([pieces[i] for i in mine])
-        state, log = None, np.zeros(len(mine))
-        for t, n in enumerate(run.active):
-            now = emit[:, run.items[run.edge[t] : run.edge[t + 1]]]
-            if state is None:  # state[j, i]: the state reached, from the state before
-                state = np.where(heads[mine], model.start[:, None, None], move[:, :, None]) * now[:, None, :]
-            else:
-                if n < state.shape[2]:
-                    out[:, :, mine[n : state.shape[2]]] = state[:, :, n:].transpose(1, 0, 2)
-                    state = state[:, :, :n]
-                state = (move @ state.reshape(k, -1)).reshape(k, k, n) * now[:, None, :]
-            if t % RESCALE == 0:
-                most = state.max((0, 1))
-                state /= most
-                log[:n] += np.log(most)
-        out[:, :, mine[: state.shape[2]]] = state.transpose(1, 0, 2)
-        scales[mine] = log
+    lengths = np.array([len(x) for x in pieces], np.int64)
+    for which, first in ((np.flatnonzero(heads), model.start[:, None, None]), (np.flatnonzero(~heads), move[:, :, None])):
+        for mine in (which[x] for x in _runs(lengths[which], RUN // 16)):
+            run = _Run([pieces[i] for i in mine])
+            state, log = None, np.zeros(len(mine))
+            for t, n in enumerate(run.active):
+                now = emit[:, run.items[run.edge[t] : run.edge[t + 1]]]
+                if state is None:  # state[j, i]: the state reached, from the state before, which for heads is all one
+                    state = first * now[:, None, :]
+                else:
+                    if n < state.shape[2]:
+                        out[:, :, mine[n : state.shape[2]]] = state[:, :, n:].transpose(1, 0, 2)
+                        state = state[:, :, :n]
+                    state = (move @ state.reshape(k, -1)).reshape(k, -1, n) * now[:, None, :]
+                if t % RESCALE == 0:
+                    most = state.max((0, 1))
+                    state /= most
+                    log[:n] += np.log(most)
+            out[:, :, mine[: state.shape[2]]] = state.transpose(1, 0, 2)
+            scales[mine] = log
     return out, scales
 
 
-def _room(k: int, n: int) -> list[np.ndarray]:
-    """Three arrays (k x n), of memory that a process asks for once."""
-    flat = _kept.get(k)
-    if flat is None or flat.shape[1] < k * n:
-        flat = _kept[k] = np.empty((3, k * max(n, BATCH)))
-    return [x[: k * n].reshape(k, n) for x in flat]
-
+def _span(lengths: np.ndarray) -> int:
+    """Items of a piece: as many as WIDE sequences have, but PIECE at least."""
+    return max(PIECE, int(np.partition(lengths, -WIDE)[-WIDE])) if len(lengths) >= WIDE else PIECE
 
-_kept: dict[int, np.ndarray] = {}
 
-
-def _cut(sequences: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Pieces of PIECE items at most, in order, the sequence of each, and which of them start one."""
-    pieces = [x[i : i + PIECE] for x in sequences for i in range(0, len(x), PIECE)]
-    owner = np.repeat(np.arange(len(sequences)), np.array([-(-len(x) // PIECE) for x in sequences], np.int64))
+def _cut(sequences: list[np.ndarray], span: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Pieces of ``span`` items at most, in order, the sequence of each, and which of them start one."""
+    pieces = [x[i : i + span] for x in sequences for i in range(0, len(x), span)]
+    owner = np.repeat(np.arange(len(sequences)), np.array([-(-len(x) // span) for x in sequences], np.int64))
     return pieces, owner, np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.bool_)
 
 
 def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     """Natural logarithms of the probabilities of class sequences, by the scaled forward recursion.
 
-    A sequence of more than PIECE items goes piece by piece as products of
+    A sequence of more items than a piece has goes piece by piece as products of
     matrices, which is the same recursion in another order of multiplication.
     """
     out, emit, move = np.zeros(len(sequences)), np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
     lengths = np.array([len(s) for s in sequences], np.int64)
-    short = np.flatnonzero(lengths <= PIECE)
-    for mine in _runs(lengths[short], BATCH * 4):
+    span = _span(lengths)
+    short = np.flatnonzero(lengths <= span)
+    for mine in _runs(lengths[short], RUN // 8):
         run = _Run([sequences[i] for i in short[mine]])
         score, state = np.zeros(len(mine)), None
         for t, n in enumerate(run.active):
@@ -269,9 +278,9 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
             state /= scale
             score[:n] += np.log(scale)
         out[short[mine]] = score
-    long = np.flatnonzero(lengths > PIECE)
+    long = np.flatnonzero(lengths > span)
     if len(long):
-        pieces, owner, heads = _cut([sequences[i] for i in long])
+        pieces, owner, heads = _cut([sequences[i] for i in long], span)
         steps, scales = _products(model, pieces, heads)
         for p, i in enumerate(owner):
             row = (np.eye(1, len(model.start))[0] if heads[p] else row) @ steps[:, :, p]  # noqa: F821
@@ -281,16 +290,40 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class _Chances:
+    """Adds the chances of states at items to the counts of classes (k x classes), many items at a time."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.items, self.held, self.size = counts, np.empty(HELD, np.int64), np.empty((len(counts), HELD)), 0
+
+    def add(self, items: np.ndarray, chances: np.ndarray) -> None:
+        for a in range(0, len(items), HELD):
+            n = min(HELD, len(items) - a)
+            if self.size + n > HELD:
+                self.flush()
+            at = slice(self.size, self.size + n)
+            self.items[at], self.held[:, at] = items[a : a + n], chances[:, a : a + n]
+            self.size += n
+
+    def flush(self) -> None:
+        for row, held in zip(self.counts, self.held):
+            row += np.bincount(self.items[: self.size], held[: self.size], len(row))
+        self.size = 0
+
+
 def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions (one Baum-Welch step).
 
     The pieces of a long sequence run side by side, each from the exact
     forward numbers at its start and with the exact backward numbers at its
-    end, which products over pieces give; so cutting changes no count.
+    end, which products over pieces give; so cutting changes no count. In time
+    they go window by window: one pass keeps the forward numbers at which each
+    window starts, and the windows, the last one first, hand the backward
+    numbers on.
     """
     k, c = len(model.start), len(model.emit)
     start, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
-    pieces, owner, heads = _cut(sequences)
+    pieces, owner, heads = _cut(sequences, _span(np.array([len(x) for x in sequences], np.int64)))
     before, after = np.ones((k, len(pieces))), np.ones((k, len(pieces)))  # forward numbers before a piece, backward ones at its end
     tails = np.concatenate((heads[1:], [True])) if len(heads) else heads
     part = np.flatnonzero(~(heads & tails))  # pieces of longer sequences
@@ -305,45 +338,76 @@ def expect(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.nd
                 column = steps[:, :, at] @ after[:, p]
                 after[:, p - 1] = column / column.sum()
     emit, move = np.ascontiguousarray(model.emit.T), np.ascontiguousarray(model.move.T)
-    for mine in _runs(np.array([len(x) for x in pieces], np.int64), BATCH):
+    chances = _Chances(emitted)
+    for mine in _runs(np.array([len(x) for x in pieces], np.int64), RUN):
         run = _Run([pieces[i] for i in mine])
         edge, active, head = run.edge.tolist(), run.active.tolist(), heads[mine]
-        seen, alpha, beta = _room(k, len(run.items))
-        np.take(emit, run.items, axis=1, out=seen, mode="clip")
-        held, shrunk = np.empty((k, len(mine))), np.ones(len(run.items))
-        np.multiply(seen[:, : edge[1]], np.where(head, model.start[:, None], move @ before[:, mine]), out=alpha[:, : edge[1]])
-        for t in range(1, len(active)):
-            a, b, n, from_ = edge[t], edge[t + 1], active[t], edge[t - 1]
-            now = np.matmul(move, alpha[:, from_ : from_ + n], out=held[:, :n])
-            if t % RESCALE == 0:  # any scale does: what is counted is normalised at each item
-                by = 1 / now.sum(0)
-                now *= by
-                shrunk[a:b] = by
-            np.multiply(seen[:, a:b], now, out=alpha[:, a:b])
-        last, later = after[:, mine], 0  # later: sequences that go on behind the time step
-        for t in range(len(active) - 1, -1, -1):
-            a, b, n = edge[t], edge[t + 1], active[t]
-            if later:
-                now = np.multiply(seen[:, b : b + later], beta[:, b : b + later], out=held[:, :later])
-                if t % RESCALE == 0:
-                    now /= now.sum(0)
-                np.matmul(model.move, now, out=beta[:, a : a + later])
-            if later < n:
-                beta[:, a + later : b] = last[:, later:n]
-            later = n
-        seen *= beta
-        beta *= alpha
-        total = beta.sum(0)
-        beta /= total
-        for j in range(k):
-            emitted[j] += np.bincount(run.items, beta[j], c)
-        start += beta[:, : edge[1]][:, head].sum(1)
-        seen *= np.divide(shrunk, total, out=shrunk)
-        inside = ~head
-        if inside.any():
-            moved += before[:, mine[inside]] @ seen[:, : edge[1]][:, inside].T
-        for t in range(1, len(active)):
-            moved += alpha[:, edge[t - 1] : edge[t - 1] + active[t]] @ seen[:, edge[t] : edge[t + 1]].T
+        first = np.where(head, model.start[:, None], move @ before[:, mine])
+        times = [0]
+        while times[-1] < len(active):
+            times.append(max(times[-1] + 1, int(np.searchsorted(run.edge, edge[times[-1]] + BATCH, "right")) - 1))
+        room = np.empty((3, k * max(edge[z] - edge[a] for a, z in zip(times, times[1:]))))
+        held = np.empty((k, len(mine)))
+
+        def ahead(lo: int, hi: int, enter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Chances of the items of a window, forward numbers, and by what each was scaled; enter: the numbers before it."""
+            base, size = edge[lo], edge[hi] - edge[lo]  # noqa: B023
+            seen, alpha = room[:2, : k * size].reshape(2, k, size)  # noqa: B023
+            np.take(emit, run.items[base : base + size].astype(np.intp), axis=1, out=seen, mode="clip")  # noqa: B023
+            shrunk, old = np.ones(size), enter
+            for t in range(lo, hi):
+                a, z = edge[t] - base, edge[t + 1] - base  # noqa: B023
+                now = first if old is None else np.matmul(move, old[:, : z - a], out=held[:, : z - a])  # noqa: B023
+                if t % RESCALE == 0 and t:  # any scale does: what is counted is normalised at each item
+                    by = 1 / now.sum(0)
+                    now *= by
+                    shrunk[a:z] = by
+                old = np.multiply(seen[:, a:z], now, out=alpha[:, a:z])
+            return seen, alpha, shrunk
+
+        enters: list[np.ndarray | None] = [None]
+        for lo, hi in zip(times, times[1:-1]):
+            _, alpha, _ = ahead(lo, hi, enters[-1])
+            a = edge[hi - 1] - edge[lo]
+            enters.append(alpha[:, a : a + active[hi]].copy())
+        last, back = after[:, mine], held[:, :0]  # back: backward numbers of the sequences that go on behind the window
+        for lo, hi, enter in zip(times[-2::-1], times[:0:-1], reversed(enters)):
+            seen, alpha, shrunk = ahead(lo, hi, enter)
+            base, beta = edge[lo], room[2, : seen.size].reshape(seen.shape)
+            for t in range(hi - 1, lo - 1, -1):
+                a, b, n = edge[t] - base, edge[t + 1] - base, active[t]
+                later = active[t + 1] if t + 1 < len(active) else 0
+                if t == hi - 1:
+                    beta[:, a : a + later] = back
+                else:
+                    now = np.multiply(seen[:, b : b + later], beta[:, b : b + later], out=held[:, :later])
+                    if t % RESCALE == 0:
+                        now /= now.sum(0)
+                    np.matmul(model.move, now, out=beta[:, a : a + later])
+                if later < n:
+                    beta[:, a + later : b] = last[:, later:n]
+            seen *= beta
+            n = active[lo]
+            back = model.move @ (seen[:, :n] / seen[:, :n].sum(0))
+            beta *= alpha
+            total = beta.sum(0)
+            beta /= total
+            chances.add(run.items[base : edge[hi]], beta)
+            seen *= np.divide(shrunk, total, out=shrunk)
+            if enter is not None:
+                moved += enter @ seen[:, :n].T
+            else:
+                start += beta[:, :n][:, head].sum(1)
+                moved += before[:, mine[~head]] @ seen[:, :n][:, ~head].T
+            t = lo + 1
+            while t < hi:  # time steps of as many sequences as the step before have lie side by side
+                z = t + 1
+                while z < hi and active[z] == active[z - 1] == active[t - 1]:
+                    z += 1
+                size = edge[z] - edge[t]
+                moved += alpha[:, edge[t - 1] - base : edge[t - 1] - base + size] @ seen[:, edge[t] - base : edge[z] - base].T
+                t = z
+    chances.flush()
     return start, model.move * moved, emitted.T
 
 
@@ -357,9 +421,19 @@ def _expect(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.start)
         start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit)
+        held, size = [], 0
+
+        def count() -> None:
+            for all_, x in zip((start, move, emit), expect(model, held)):
+                all_ += x
+
         for b in batches:
-            for i, x in enumerate(expect(model, _sequences(b.column("classes")))):
-                (start, move, emit)[i][...] += x
+            held += _sequences(b.column("classes"))
+            size += b.column("classes").nbytes // 2
+            if size >= RUN:  # short batches side by side
+                count()
+                held, size = [], 0
+        count()
         some = np.flatnonzero(emit.any(1))
         rows = np.concatenate((start[None], move, emit[some]))
         names = np.concatenate(([-1], -2 - np.arange(k), some))
@@ -417,7 +491,7 @@ def score(docs: DataFrame, *, states: int = STATES, own: int = OWN, table: int =
     share = np.concatenate(([ends], own_n, bucket_tokens)).astype(float) + 1
     share /= share.sum()
     encoded = scratch.write(docs.mapInArrow(_encode(vocabulary), _ENCODED).withColumn("row", F.monotonically_increasing_id()), "encoded")
-    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-train_tokens // TASK_TOKENS))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-train_tokens // TASK_TOKENS))
     learning = encoded.filter("not held_out").select("classes").coalesce(tasks)
     model = Model.guess(share, states)
     for _ in range(rounds if ends else 0):

@@ -266,6 +266,21 @@ def test_expected_counts(monkeypatch):
             assert np.allclose(got, want)
 
 
+def test_long_sequences_side_by_side_need_no_products(monkeypatch):
+    """Products over pieces cost as much as several passes; windows in time, pieces and runs change no count."""
+    rng = np.random.default_rng(3)
+    data = [rng.integers(0, 6, n).astype("<u2") for n in (*[2_000] * 300, *rng.integers(1, 400, 300), 5_000)]
+    model, asked, plain = hmm.Model.guess(np.full(6, 1 / 6), 3), [], hmm._products
+    monkeypatch.setattr(hmm, "_products", lambda m, pieces, heads: asked.append(sum(map(len, pieces))) or plain(m, pieces, heads))
+    got = *hmm.expect(model, data), hmm.forward(model, data)
+    assert sum(asked) < 0.5 * sum(map(len, data)), asked
+    for changed in ({"WIDE": 10**9}, {"WIDE": 1}, {"BATCH": 5_000, "HELD": 3_000}, {"RUN": 40_000, "MOST": 7}):
+        with monkeypatch.context() as m:
+            for name, value in changed.items():
+                m.setattr(hmm, name, value)
+            assert all(np.allclose(a, b, rtol=1e-10) for a, b in zip(got, (*hmm.expect(model, data), hmm.forward(model, data)))), changed
+
+
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(1)
     data = [np.where(rng.random(60) < 0.9, rng.integers(0, 3, 60) + 3 * (i % 2), rng.integers(0, 6, 60)).astype("<u2") for i in range(40)]
