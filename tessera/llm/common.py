@@ -102,10 +102,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         """The table as a Parquet table; shuffle files that only its making needed go at once."""
         with _setting(self.spark, CLEANUP, "true"):
-            df.write.mode("overwrite").parquet(self.path(name))
+            df.write.mode("overwrite").parquet(self.path(name), compression=compression)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -12,8 +12,10 @@ count, and what other attempts left is deleted. So a lost executor leaves no
 half part, and nothing is renamed.
 
 Documents are encoded where they lie; their packed ids, which are smaller than
-the texts, are put in order. Equal ids are ordered by a hash of their ids, and
-equal documents by their row, so that no range is one id's alone.
+the texts, are put in order, the lower half of the ids first, so that no more
+than about a half lies in shuffle files at once. Equal ids are ordered by a hash
+of their ids, and equal documents by their row, so that no range is one id's
+alone.
 
 Null and empty texts have the end id alone; a very long text is one document of
 a larger part; null ids come first and read back as null; repeated rows are
@@ -43,6 +45,8 @@ NO_ID = -(2**63)
 #: Bytes of ids in a part, about; fewer where there would be too few parts to keep all cores busy, but no fewer than the second.
 PART_BYTES = 1 << 26
 LEAST_BYTES = 1 << 20
+#: Fewer bytes of ids are put in order at once.
+HALVED = 1 << 24
 
 
 def _place(uri: str):
@@ -63,9 +67,9 @@ def _encoded(tokenizer: str, end_id: int):
     return run
 
 
-def _writer(folder: str, width: int):
+def _writer(folder: str, width: int, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part = first + TaskContext.get().partitionId()
         system, top = _place(folder)
         name = f"part-{part:05d}-{uuid.uuid4().hex}"
         index, at, docs = [], 0, 0
@@ -99,12 +103,17 @@ def write_ids(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end
     scratch = common.Scratch(spark, "token_ids")
     system, top = _place(folder)
     system.create_dir(top, recursive=True)
-    encoded = scratch.write(common.texts(docs).mapInArrow(_encoded(path, end_id), "doc_id long, ids binary"), "encoded")
-    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "row"]
-    rows = encoded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    done = sorted(rows.select("doc_id", "ids").mapInArrow(_writer(folder, encoder(path).dtype.itemsize), _PARTS).collect())
+    encoded = scratch.write(common.texts(docs).mapInArrow(_encoded(path, end_id), "doc_id long, ids binary"), "encoded", "zstd")
+    middle = encoded.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    id_, middle = F.col("doc_id"), F.lit(middle).cast("long")
+    lower = id_.isNull() | (id_ < middle)
+    size, low = (x or 0 for x in encoded.agg(F.sum(F.octet_length("ids")), F.sum(F.when(lower, F.octet_length("ids")))).first())
+    halves = [(encoded.filter(lower), low), (encoded.filter(id_ >= middle), size - low)] if size > HALVED else [(encoded, size)]
+    done, parts = [], 0
+    for i, (rows, n) in enumerate(halves):
+        found = scratch.write(_written(rows, n, folder, encoder(path).dtype.itemsize, parts, part_bytes), f"parts{i}")
+        done += sorted(found.collect())
+        parts = done[-1].part + 1 if done else 0
     scratch.drop("encoded")
     bases = np.cumsum([0, *(r.n_ids for r in done)])
     found = [(*r, int(b)) for r, b in zip(done, bases[:-1], strict=True)]
@@ -112,6 +121,14 @@ def write_ids(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end
     return spark.createDataFrame(found, f"{_PARTS}, base long")
 
 
+def _written(rows: DataFrame, size: int, folder: str, width: int, first: int, part_bytes: int) -> DataFrame:
+    """Writes the files of rows (doc_id, ids), which have ``size`` bytes of ids, as parts from ``first`` on."""
+    parts = max(1, -(-size // part_bytes), min(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "row"]
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return rows.select("doc_id", "ids").mapInArrow(_writer(folder, width, first), _PARTS)
+
+
 def _commit(folder: str, files: list[str], manifest: dict) -> None:
     """Writes the manifest and deletes what it does not name."""
     from pyarrow import fs

@@ -112,6 +112,25 @@ def test_parts_follow_the_size_and_split_equal_ids(spark, tmp_path):
     assert got == list(range(0, 3_000 * (len(ids("one two three four")) + 1), len(ids("one two three four")) + 1))
 
 
+def test_half_of_the_ids_is_put_in_order_at_once(spark, tricky, tmp_path, monkeypatch):
+    many = spark.createDataFrame([(i * 7 % 1_000, f"one two {i}") for i in range(1_000)], "doc_id long, text string")
+    sizes, plain = [], token_files._written
+    monkeypatch.setattr(token_files, "HALVED", 0)
+    monkeypatch.setattr(token_files, "_written", lambda rows, *x: sizes.append(rows.count()) or plain(rows, *x))
+    for name, df in (("many", many), ("tricky", tricky.select("doc_id", "text")), ("one", many.selectExpr("7L AS doc_id", "text")), ("null", many.selectExpr("CAST(NULL AS LONG) AS doc_id", "text"))):
+        sizes.clear()
+        folder = f"file://{tmp_path}/{name}"
+        got = sorted((tuple(r) for r in token_files.token_files(df, folder=folder).collect()), key=lambda r: r[1])
+        rows = [tuple(r) for r in df.collect()]
+        assert sum(sizes) == len(rows) and (name != "many" or max(sizes) < 600), sizes
+        key = lambda r: (r[0] is not None, r[0] or 0, r[1:])
+        assert sorted(((d, n, c) for d, _, n, c in got), key=key) == sorted(((d, len(ids(t)) + 1, crc([*ids(t), 2])) for d, t in rows), key=key)
+        assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+        assert [(r[0] is not None, r[0] or 0) for r in got] == sorted((r[0] is not None, r[0] or 0) for r in got)
+        parts = sorted(r.part for r in token_files.manifest(spark, folder).collect())
+        assert len(set(parts)) == len(parts)
+
+
 def test_packing(tricky):
     rows = packing.pack(tricky, length=128, group=60).collect()
     want = defaultdict(int)
