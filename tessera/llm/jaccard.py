@@ -401,10 +401,10 @@ def _search(docs: DataFrame, scratch: common.Scratch, name: str) -> tuple[DataFr
     order = np.argsort(values)
     values, counts = values[order], counts[order]
     listed = scratch.write(docs.mapInArrow(_prefixes(values, counts), _PREFIX), f"{name}_listed")
-    shared = listed.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = scratch.write(listed.groupBy("shingle").agg(F.count("*").alias("size")).filter("size > 1"), f"{name}_shared")  # its shuffle files go before those of the join
     lists = scratch.write(listed.join(shared, "shingle"), f"{name}_lists")
     own = scratch.write(lists.groupBy("doc_id").agg(F.collect_list("shingle").alias("lists")), f"{name}_own")
-    scratch.drop(f"{name}_listed", f"{name}_late")
+    scratch.drop(f"{name}_listed", f"{name}_late", f"{name}_shared")
     links, found, round_, before = None, None, 0, None
     small, now = lists.filter(F.col("size") <= LONG).withColumn("c", F.col("doc_id")), lists.filter(F.col("size") > LONG).withColumn("c", F.col("doc_id"))
     while True:

@@ -90,6 +90,19 @@ def test_rows_grow_with_boilerplate_not_with_its_pairs(spark, monkeypatch):
     assert made[8000] < 2.6 * made[4000], made
 
 
+def test_list_entries_are_joined_when_the_shuffle_files_of_their_counts_are_gone(spark, documents, monkeypatch):
+    seen, plain = [], Scratch.write
+
+    def spied(self, df, name):
+        if name.endswith("_lists"):
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", spied)
+    jaccard.near_copies(documents)
+    assert len(seen) == 1 and "Join" in seen[0] and "Aggregate" not in seen[0]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([(24, 20), (0, 0), (10**9, 10**9), (0, 10**9)]))
 def test_t_occurrence_search_finds_all_links(seed, costs):
