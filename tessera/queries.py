@@ -191,7 +191,8 @@ def self_theta_join(t):
 
 @query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE s_acctbal > c_acctbal OR c_mktsegment = 'BUILDING'")
 def equi_plus_theta(t):
-    return op.equi_join(t.supplier, t.customer, [("s_nationkey", "c_nationkey")], (c("s_acctbal") > c("c_acctbal")) | (c("c_mktsegment") == "BUILDING")).select("s_suppkey", "c_custkey")
+    supplier, customer = t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return op.grid_join(supplier, customer, [("s_nationkey", "c_nationkey")], (c("s_acctbal") > c("c_acctbal")) | (c("c_mktsegment") == "BUILDING")).select("s_suppkey", "c_custkey")
 
 
 @query("SELECT n_nationkey AS nationkey, n_name, s_name FROM nation JOIN supplier ON n_nationkey = s_nationkey")

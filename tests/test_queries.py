@@ -38,7 +38,7 @@ def test_nested_derived_reads_all_customers(spark):
     assert sorted(tuple(r) for r in queries.queries()["nested_derived"](spark, FOLDER).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["nested_derived", "self_theta_join"])
+@pytest.mark.parametrize("name", ["nested_derived", "self_theta_join", "equi_plus_theta"])
 def test_pairs_of_a_hot_key_are_dealt_out(spark, name, tmp_path, monkeypatch):
     """All rows have one nation: no partition may have more than a few cells of the pairs, however many there are."""
     monkeypatch.setattr(joins, "BLOCK", 20, raising=False)
